@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from factmill.llm import secrets, sharding, tokens
+from factmill.llm import decontaminate, quality, secrets, sharding, tokens
 
 BYTE_BPE = "byte_bpe_50k.json"
 
@@ -20,6 +21,13 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_read(spark, sf_dir, "documents"), shards=16)
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    model = quality.train(docs, _read(spark, sf_dir, "labels"), "quality")
+    scored = quality.score_quality(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", quality.held_out("doc_id", 3, 1).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
 def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest_secrets(secrets.find_secrets(_read(spark, sf_dir, "documents")))
 
@@ -32,10 +40,16 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.pack(_read(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), capacity=2048, end_id=1)
 
 
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
+    "op2_quality_classifier": op2_quality_classifier,
     "op5_secret_scans": op5_secret_scans,
     "op6_token_counts": op6_token_counts,
     "op9_packing": op9_packing,
+    "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 ORACLES: dict[str, str] = {}
