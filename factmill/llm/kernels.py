@@ -126,3 +126,25 @@ def distinct(hashes: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarr
     keep = np.ones(len(h), bool)
     keep[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
     return h[keep], d[keep]
+
+
+def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of whole groups from batches that are sorted by their first column, a long; a group never crosses two tables."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        key = batch.column(0).to_numpy()
+        cut = int(np.searchsorted(key, key[-1]))  # the last group may go on
+        if held and (cut or held[-1].column(0)[-1].as_py() != key[0]):
+            if not cut:
+                yield pa.Table.from_batches(held)
+                held = []
+            else:
+                yield pa.Table.from_batches([*held, batch.slice(0, cut)])
+                held = []
+        elif cut:
+            yield pa.Table.from_batches([batch.slice(0, cut)])
+        held.append(batch.slice(cut))
+    if held:
+        yield pa.Table.from_batches(held)

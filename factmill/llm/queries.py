@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factmill.llm import decontaminate, jaccard, quality, secrets, sharding, tokens
+from factmill.llm import decontaminate, embeddings, html, jaccard, quality, secrets, sharding, tokens
 
 BYTE_BPE = "byte_bpe_50k.json"
 
@@ -40,6 +40,14 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(_read(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), limit=512)
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_text(_read(spark, sf_dir, "pages"))
+
+
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(_read(spark, sf_dir, "embeddings"), least=0.95)
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.pack(_read(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), capacity=2048, end_id=1)
 
@@ -54,6 +62,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op5_secret_scans": op5_secret_scans,
     "op6_token_counts": op6_token_counts,
+    "op7_html_extraction": op7_html_extraction,
+    "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_packing": op9_packing,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
