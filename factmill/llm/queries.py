@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factmill.llm import decontaminate, embeddings, html, jaccard, quality, secrets, sharding, tokens
+from factmill.llm import decontaminate, embeddings, html, jaccard, lm, quality, secrets, sharding, tokens
 
 BYTE_BPE = "byte_bpe_50k.json"
 
@@ -28,6 +28,10 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality.held_out("doc_id", 3, 1).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(_read(spark, sf_dir, "documents"))
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(_read(spark, sf_dir, "documents"), k=3, percent=90).select("doc_id", "n_shingles", "component_id")
 
@@ -59,6 +63,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_quality_classifier": op2_quality_classifier,
+    "op3_lm_scoring": op3_lm_scoring,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op5_secret_scans": op5_secret_scans,
     "op6_token_counts": op6_token_counts,
