@@ -22,7 +22,7 @@ KINDS = ("assign", "access", "hex", "markov")
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 #: Log-likelihood ratio in nats from which a candidate counts as a secret.
-LEAST_LLR = 12.0
+LEAST_LLR = 20.0
 SAMPLES = 400
 #: Words of which the ordinary identifiers of the labelled sample are made.
 WORDS = """account address array batch buffer build cache client column config connection content context controller count
@@ -36,7 +36,7 @@ window worker the and with from that this these have been which their there woul
 
 
 def labelled_samples(spark: SparkSession, n: int = SAMPLES) -> DataFrame:
-    """(sample, random): n random strings in hex, base 64 and upper case, and n identifiers in snake, camel, kebab and joined case. Made by rule."""
+    """(sample, random): n random strings in hex, base 64 and upper case, and n identifiers in snake, camel, kebab and joined case, among them rulers of one character. Made by rule."""
     word = lambda k: F.get(F.array(*[F.lit(w) for w in WORDS]), F.pmod(F.hash("id", F.lit(k)), F.lit(len(WORDS))))
     digest = lambda k: F.sha2(F.concat(F.col("id").cast("string"), F.lit(f"/{k}")), 256)
     coded = F.base64(F.unhex(digest("b")))
@@ -44,7 +44,8 @@ def labelled_samples(spark: SparkSession, n: int = SAMPLES) -> DataFrame:
     words = [word(k) for k in range(4)]
     year = (1990 + F.col("id") % 40).cast("string")
     plain = (
-        F.when(F.col("id") % 5 == 0, F.concat_ws("_", *words))
+        F.when(F.col("id") % 25 == 4, F.repeat(F.substr(F.lit("=-_+/xX09"), F.col("id") % 9 + 1, F.lit(1)), F.lit(30)))
+        .when(F.col("id") % 5 == 0, F.concat_ws("_", *words))
         .when(F.col("id") % 5 == 1, F.concat(words[0], *[F.initcap(w) for w in words[1:]]))
         .when(F.col("id") % 5 == 2, F.concat_ws("-", *words[:3], year))
         .when(F.col("id") % 5 == 3, F.concat(*words))
@@ -54,7 +55,7 @@ def labelled_samples(spark: SparkSession, n: int = SAMPLES) -> DataFrame:
     return ids.select(random.alias("sample"), F.lit(True).alias("random")).unionByName(ids.select(plain.alias("sample"), F.lit(False).alias("random")))
 
 
-def train(samples: DataFrame, smoothing: float = 0.5) -> list[float]:
+def train(samples: DataFrame, smoothing: float = 20.0) -> list[float]:
     """Log ratio of the two transition probabilities of every pair of alphabet characters, as one row-major list.
 
     What comes to the driver has one row per pair of alphabet characters at most.
@@ -65,8 +66,20 @@ def train(samples: DataFrame, smoothing: float = 0.5) -> list[float]:
     counts = {True: [[0] * size for _ in range(size)], False: [[0] * size for _ in range(size)]}
     for r in pairs.where(F.col("pair").rlike("^[A-Za-z0-9+/_=-]{2}$")).collect():
         counts[r["random"]][ALPHABET.index(r["pair"][0])][ALPHABET.index(r["pair"][1])] = r["n"]
-    chance = lambda of, i, j: (of[i][j] + smoothing) / (sum(of[i]) + smoothing * size)
-    return [math.log(chance(counts[True], i, j) / chance(counts[False], i, j)) for i in range(size) for j in range(size)]
+    return ratios(counts[True], counts[False], smoothing)
+
+
+def ratios(random: list[list[int]], ordinary: list[list[int]], weight: float) -> list[float]:
+    """Log ratios of transition probabilities that are backed by the characters' own frequencies with `weight` observations."""
+    size = len(ALPHABET)
+
+    def chances(of: list[list[int]]) -> list[list[float]]:
+        total = sum(map(sum, of))
+        alone = [(sum(row[j] for row in of) + 0.5) / (total + 0.5 * size) for j in range(size)]
+        return [[(of[i][j] + weight * alone[j]) / (sum(of[i]) + weight) for j in range(size)] for i in range(size)]
+
+    x, y = chances(random), chances(ordinary)
+    return [math.log(x[i][j] / y[i][j]) for i in range(size) for j in range(size)]
 
 
 def llr(token: Column, model: list[float]) -> Column:
