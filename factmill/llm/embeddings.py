@@ -15,17 +15,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from factmill.llm.components import components
-from factmill.llm.kernels import grouped
+from factmill.llm.kernels import U, grouped, mix
 from factmill.llm.store import materialize
 
 BLOCKS = 4
 #: Vectors to a pivot, bounds of the number of pivots, and vectors in a chunk of a cell.
-PER_PIVOT, PIVOTS_LEAST, PIVOTS_MOST = 300, 4, 512
-CHUNK = 2000
+PER_PIVOT, PIVOTS_LEAST, PIVOTS_MOST = 1280, 4, 512
+CHUNK = 16_000
 #: What single precision may be off by in squared block distances and in the distance to a bisector.
 SLACK = 1e-5
 
@@ -50,46 +49,73 @@ def _vectors(column: pa.Array) -> list[np.ndarray]:
     return [np.asarray(x, np.float64) for x in column.to_pylist()]
 
 
-def _deal(vectors: DataFrame, pivots: dict[int, np.ndarray], least: float) -> DataFrame:
-    """(dim, part, cell, cls, mult, home, raw, turned): each vector in its home cell and in the earlier cells that it visits, for each block."""
-    schema = "dim int, part int, cell int, cls long, mult long, home int, raw binary, turned binary"
+def _visits(batches: Iterator[pa.RecordBatch], pivots: dict[int, np.ndarray], least: float) -> Iterator[tuple]:
+    """(dim, part, rows of the batch, cells, home of each, raw, turned) of a batch's vectors: each in its home cell and in the earlier cells that it visits."""
+    for batch in batches:
+        rows = _vectors(batch.column(2))
+        sizes = np.array([len(r) for r in rows])
+        for dim in np.unique(sizes).tolist():
+            own = np.flatnonzero(sizes == dim)
+            raw = np.stack([rows[i] for i in own])
+            _, turned = _turned(raw)
+            edge = bounds(dim)
+            _, centre = _turned(pivots[dim])
+            for part, (s, e) in enumerate(zip(edge[:-1], edge[1:], strict=True)):
+                radius = np.sqrt((2 - 2 * least) * (e - s) / dim + SLACK)
+                x, p = turned[:, s:e].astype(np.float64), centre[:, s:e].astype(np.float64)
+                far = (x**2).sum(1)[:, None] + (p**2).sum(1)[None, :] - 2 * x @ p.T
+                home = far.argmin(1)
+                apart = np.sqrt(np.maximum((p**2).sum(1)[:, None] + (p**2).sum(1)[None, :] - 2 * p @ p.T, 1e-18))
+                gap = (far - far[np.arange(len(x)), home][:, None]) / (2 * apart[home])
+                visits = (gap <= radius + SLACK) & (np.arange(len(p))[None, :] < home[:, None])
+                visits[np.arange(len(x)), home] = True
+                i, cell = np.nonzero(visits)
+                yield batch, dim, part, own, i, cell, home, raw, turned
+
+
+def _deal(vectors: DataFrame, pivots: dict[int, np.ndarray], least: float, single: bool) -> DataFrame:
+    """(block, dim, part, cell, cls, mult, home, chunk, other, raw, turned). A cell of more than CHUNK visitors is split into chunks by hash, and a
+    block is a pair of chunks. A first pass counts the visitors of each cell; the counts are at most PIVOTS_MOST for each part and length."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple, int] = {}
+        for _, dim, part, _, _, cell, *_ in _visits(batches, pivots, least):
+            for k, n in zip(*(x.tolist() for x in np.unique(cell, return_counts=True)), strict=True):
+                total[dim, part, k] = total.get((dim, part, k), 0) + n
+        keys = list(total)
+        yield pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in keys], pa.int32()) for i in range(3)), pa.array(list(total.values()), pa.int64())], ["dim", "part", "cell", "n"])
+
+    narrow = vectors.select("cls", "mult", "v")
+    counted = narrow.mapInArrow(count, "dim int, part int, cell int, n long").groupBy("dim", "part", "cell").agg(F.sum("n").alias("n")).collect()
+    chunks = {(r["dim"], r["part"], r["cell"]): -(-r["n"] // CHUNK) for r in counted}
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cls, mult = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            rows = _vectors(batch.column(2))
-            sizes = np.array([len(r) for r in rows])
-            for dim in np.unique(sizes).tolist():
-                own = np.flatnonzero(sizes == dim)
-                raw = np.stack([rows[i] for i in own])
-                _, turned = _turned(raw)
-                edge = bounds(dim)
-                _, centre = _turned(pivots[dim])
-                for part, (s, e) in enumerate(zip(edge[:-1], edge[1:], strict=True)):
-                    radius = np.sqrt((2 - 2 * least) * (e - s) / dim + SLACK)
-                    x, p = turned[:, s:e].astype(np.float64), centre[:, s:e].astype(np.float64)
-                    far = (x**2).sum(1)[:, None] + (p**2).sum(1)[None, :] - 2 * x @ p.T
-                    home = far.argmin(1)
-                    apart = np.sqrt(np.maximum(((p[:, None, :] - p[None, :, :]) ** 2).sum(2), 1e-18))
-                    gap = (far - far[np.arange(len(x)), home][:, None]) / (2 * apart[home])
-                    visits = (gap <= radius + SLACK) & (np.arange(len(p))[None, :] < home[:, None])
-                    visits[np.arange(len(x)), home] = True
-                    i, cell = np.nonzero(visits)
-                    n = len(i)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(n, dim, np.int32)), pa.array(np.full(n, part, np.int32)), pa.array(cell.astype(np.int32)), pa.array(cls[own[i]]), pa.array(mult[own[i]]), pa.array(home[i].astype(np.int32)), pa.array([raw[k].tobytes() for k in i], pa.binary()), pa.array([turned[k].tobytes() for k in i], pa.binary())],
-                        ["dim", "part", "cell", "cls", "mult", "home", "raw", "turned"],
-                    )
-
-    return vectors.select("cls", "mult", "v").mapInArrow(deal, schema)
-
-
-def _joined(dealt: DataFrame, least: float) -> DataFrame:
-    """Rows (a, b, n): links of the cells as a forest with n null, and per vector a the number n of vectors linked, with b null."""
-    cell = W.partitionBy("dim", "part", "cell")
-    chunked = dealt.withColumn("chunk", F.expr(f"(row_number() OVER (PARTITION BY dim, part, cell ORDER BY cls) - 1) div {CHUNK}")).withColumn("most", F.max("chunk").over(cell.orderBy("cls").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
-    other = F.explode(F.sequence(F.lit(0), F.col("most"))).alias("other")
-    meeting = chunked.select("*", other).withColumn("block", F.xxhash64("dim", "part", "cell", F.least("chunk", "other"), F.greatest("chunk", "other")))
+        for batch, dim, part, own, i, cell, home, raw, turned in _visits(batches, pivots, least):
+            cls, mult = batch.column(0).to_numpy()[own], batch.column(1).to_numpy()[own]
+            kept = raw.astype(np.float32) if single else raw
+            of = np.array([chunks.get((dim, part, k), 1) for k in range(len(pivots[dim]))])[cell]
+            chunk = (mix(cls[i].view(U) ^ U(21)) % of.astype(U)).astype(np.int64)
+            row = np.repeat(np.arange(len(i)), of)
+            other = np.arange(len(row)) - np.repeat(np.cumsum(of) - of, of)
+            lo, hi = np.minimum(chunk[row], other), np.maximum(chunk[row], other)
+            block = np.full(len(row), dim * 64 + part, U)
+            for x in (cell[row], lo, hi):
+                block = mix(block * U(0x9E3779B97F4A7C15) + x.astype(U) + U(1))
+            at = i[row]
+            for s in range(0, len(row), 20_000):
+                k = slice(s, s + 20_000)
+                n = len(row[k])
+                fixed = lambda v: pa.array(np.full(n, v, np.int32))  # noqa: B023,E731
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(block[k].view(np.int64)), fixed(dim), fixed(part), pa.array(cell[row][k].astype(np.int32)), pa.array(cls[at[k]]), pa.array(mult[at[k]]), pa.array(home[at[k]].astype(np.int32)), pa.array(chunk[row][k]), pa.array(other[k]), pa.array([kept[x].tobytes() for x in at[k]], pa.binary()), pa.array([turned[x].tobytes() for x in at[k]], pa.binary())],
+                    ["block", "dim", "part", "cell", "cls", "mult", "home", "chunk", "other", "raw", "turned"],
+                )
+
+    return narrow.mapInArrow(deal, "block long, dim int, part int, cell int, cls long, mult long, home int, chunk long, other long, raw binary, turned binary")
+
+
+def _joined(dealt: DataFrame, least: float, single: bool) -> DataFrame:
+    """Rows (a, b, n): links of the blocks as a forest with n null, and per vector a the number n of vectors linked, with b null."""
 
     def solve(table: pa.Table) -> pa.RecordBatch:
         block = table.column("block").to_numpy()
@@ -99,12 +125,18 @@ def _joined(dealt: DataFrame, least: float) -> DataFrame:
             rows = table.slice(s, e - s)
             dim, part, here = (rows.column(c)[0].as_py() for c in ("dim", "part", "cell"))
             cls, mult, home, chunk, mate = (rows.column(c).to_numpy() for c in ("cls", "mult", "home", "chunk", "other"))
-            raw = np.frombuffer(b"".join(rows.column("raw").to_pylist()), np.float64).reshape(-1, dim)
+            raw = np.frombuffer(b"".join(rows.column("raw").to_pylist()), np.float32 if single else np.float64).reshape(-1, dim).astype(np.float64)
             turned = np.frombuffer(b"".join(rows.column("turned").to_pylist()), np.float32).reshape(-1, dim)
             edge = bounds(dim)
             share = (2 - 2 * least) * np.diff(edge) / dim + SLACK
             own = turned[:, edge[part] : edge[part + 1]]
-            length = (own.astype(np.float64) ** 2).sum(1)
+            half = (own**2).sum(1, keepdims=True) / -2
+            one = np.ones_like(half)
+            # the product of a row of left and a row of right is minus half their squared distance
+            left, right = np.hstack([own, half, one]), np.hstack([own, one, half]).T
+            most = np.float32(-(share[part] + SLACK) / 2)
+            homed = home == here
+            at_home = np.flatnonzero(homed)
             norm = np.sqrt((raw**2).sum(1))
             same = bool(chunk[0] == mate[0])
             root = list(range(len(cls)))
@@ -116,16 +148,14 @@ def _joined(dealt: DataFrame, least: float) -> DataFrame:
                     x = root[x]  # noqa: B023
                 return x
 
-            for lo in range(0, len(cls), 500):
-                hi = min(lo + 500, len(cls))
-                far = length[lo:hi, None] + length[None, :] - 2.0 * (own[lo:hi] @ own.T)
-                near = far <= share[part] + SLACK
-                near &= np.arange(lo, hi)[:, None] < np.arange(len(cls))[None, :]
-                near &= (home[lo:hi, None] == here) | (home[None, :] == here)
+            for lo in range(0, len(at_home), 500):
+                some = at_home[lo : lo + 500]
+                i, j = np.divmod(np.flatnonzero(left[some] @ right >= most), len(cls))
+                i = some[i]
+                ok = np.where(homed[j], i < j, i != j)  # of two at home, the first finds the second
                 if not same:
-                    near &= chunk[lo:hi, None] != chunk[None, :]
-                i, j = np.nonzero(near)
-                i += lo
+                    ok &= chunk[i] != chunk[j]
+                i, j = i[ok], j[ok]
                 if not len(i):
                     continue
                 dist = (turned[i].astype(np.float64) - turned[j].astype(np.float64)) ** 2
@@ -151,7 +181,7 @@ def _joined(dealt: DataFrame, least: float) -> DataFrame:
                 out_n.append(n_links[x])
         return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (out_a, out_b, out_n)], ["a", "b", "n"])
 
-    ordered = meeting.select("block", "dim", "part", "cell", "cls", "mult", "home", "chunk", "other", "raw", "turned").repartition("block").sortWithinPartitions("block", "cls")
+    ordered = dealt.repartition("block").sortWithinPartitions("block", "cls")
     return ordered.mapInArrow(lambda batches: (solve(t) for t in grouped(batches)), "a long, b long, n long")
 
 
@@ -162,7 +192,9 @@ def near_duplicates(rows: DataFrame, least: float = 0.95, id_col: str = "vec_id"
     lengths. Equal vectors are one class while joining and count each in n_links. Repeated ids stay rows of their own. An empty table gives no rows.
     """
     spark = rows.sparkSession
-    v = F.transform(F.col(vector_col).cast("array<double>"), lambda x: x + F.lit(0.0))
+    single = rows.schema[vector_col].dataType.simpleString() == "array<float>"
+    kind = "float" if single else "double"
+    v = F.transform(F.col(vector_col).cast(f"array<{kind}>"), lambda x: x + F.lit(0.0).cast(kind))
     base = rows.select(F.col(id_col).alias("id"), v.alias("v"))
     number = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     valid = F.coalesce(F.forall("v", number) & F.exists("v", lambda x: x != 0), F.lit(False))
@@ -174,7 +206,7 @@ def near_duplicates(rows: DataFrame, least: float = 0.95, id_col: str = "vec_id"
         most = min(PIVOTS_MOST, max(PIVOTS_LEAST, r["n"] // PER_PIVOT))
         chosen = classes.where(F.size("v") == r["dim"]).orderBy(F.xxhash64("cls", F.lit(5))).limit(most).select("v").collect()
         pivots[r["dim"]] = np.array([list(c[0]) for c in chosen], np.float64)
-    found = materialize(_joined(_deal(classes, pivots, least), least), "links") if pivots else spark.createDataFrame([], "a long, b long, n long")
+    found = materialize(_joined(_deal(classes, pivots, least, single), least, single), "links") if pivots else spark.createDataFrame([], "a long, b long, n long")
     counts = found.where("b IS NULL").groupBy(F.col("a").alias("cls")).agg(F.sum("n").alias("others"))
     roots = components(found.where("b IS NOT NULL").select("a", "b")).withColumnRenamed("node", "cls")
     named = classes.select("cls", "mult", "least_id").join(counts, "cls", "left").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
