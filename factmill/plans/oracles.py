@@ -223,6 +223,10 @@ ORACLES: dict[str, str] = {
     "response_consensus": f"WITH {SCORED} SELECT conv_id, count(*) FILTER (score >= 0.3) AS n, CAST(CASE count(*) FILTER (score >= 0.3) WHEN 0 THEN 0 WHEN 1 THEN round(avg(score) FILTER (score >= 0.3) * 0.75::DOUBLE, 3) ELSE round(least(1, avg(score) FILTER (score >= 0.3) + 0.1::DOUBLE), 3) END AS DOUBLE) AS consensus FROM rs GROUP BY conv_id",
     "governance_score": GOVERNED,
     "audit_perf_stats": "SELECT tier, n, average, CASE WHEN n >= 5 THEN round(v[greatest(1, CAST(round_even(0.95 * n, 0) AS INT))], 3) END AS p95 FROM (SELECT event_type AS tier, count(value) AS n, round(avg(value), 3) AS average, list(value ORDER BY value) AS v FROM events GROUP BY 1)",
+    "record_projection": f"WITH f AS ({FACTS}), k AS (SELECT * FROM {values([('diagnosis', 'document', 'diagnosis', 'Diagnosis: ', 0.8, 1, 'active'), ('medication', 'document', 'medication', 'Medication: ', 0.8, 1, 'active'), ('test_result', 'document', 'test_result', 'Test: ', 0.8, 1, 'active'), ('symptom', 'document', 'note', '', 0.64, 1, 'active'), ('diagnosis', 'web', 'diagnosis', 'Web source: ', 0.6, 4, 'hypothesis'), ('measurement', 'web', 'recommendation', 'Web recommendation: ', 0.56, 4, 'hypothesis'), ('diagnosis', 'ai_response', 'diagnosis', 'AI-suggested diagnosis: ', 0.72, 3, 'hypothesis'), ('medication', 'ai_response', 'medication', 'AI-suggested medication: ', 0.68, 3, 'hypothesis'), ('measurement', 'ai_response', 'recommendation', 'AI recommendation: ', 0.64, 3, 'hypothesis')], 'et, source_type, fact_type, lead, confidence, trust_level, tier')}) SELECT source_type, fact_type, tier, trust_level, CAST(confidence AS DOUBLE) AS confidence, lead || entity_name AS content, count(*) AS n FROM f JOIN k ON et = entity_type GROUP BY 1, 2, 3, 4, 5, 6",
+    "answer_pipeline": f"""WITH {SCORED}, q AS (SELECT conv_id AS id, arg_min(text, turn) AS text, min(turn) AS asked FROM conversations GROUP BY 1),
+ a AS (SELECT conv_id AS id, count(*) FILTER (score >= 0.3) AS n, avg(score) FILTER (score >= 0.3) AS m FROM rs JOIN q ON q.id = conv_id AND turn > asked GROUP BY 1), b AS (SELECT id, n, CAST(CASE n WHEN 0 THEN 0 WHEN 1 THEN round(m * 0.75::DOUBLE, 3) ELSE round(least(1, m + 0.1::DOUBLE), 3) END AS DOUBLE) AS consensus FROM a)
+ SELECT q.id, {SPECIALTY} AS specialty, {TASK} AS task_type, {TASK} = 'medication_check' OR {_has('lower(text)', C.INTERACTION_WORDS)} AS requires_ddi, coalesce(n, 0) AS n_accepted, coalesce(consensus, 0) AS consensus, CASE WHEN coalesce(consensus, 0) >= 0.75 THEN 'high' WHEN coalesce(consensus, 0) >= 0.5 THEN 'acceptable' WHEN coalesce(consensus, 0) >= 0.3 THEN 'low' ELSE 'discarded' END AS band, coalesce(n, 0) = 0 OR coalesce(consensus, 0) < 0.4 AS refused FROM q LEFT JOIN b ON b.id = q.id""",
     "stream_connector_profile": "SELECT CASE event_id % 3 WHEN 0 THEN 'spacy' WHEN 1 THEN 'phi3' ELSE 'gemini' END AS connector, count(*) AS attempts, count(*) FILTER (event_id % 7 <> 0) AS successes FROM events GROUP BY 1",
     "stream_windowed_counts": "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2",
 }

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from factmill import config as C
 from factmill.functions import annotate as A
 from factmill.functions import text as T
-from factmill.operators import dedup, extract, promote, resolve, safety, score, store, vector
-from factmill.plans import views
+from factmill.operators import dedup, extract, promote, records, resolve, safety, score, store, vector
+from factmill.plans import flows, views
 from factmill.sources.tables import table, web_pages
 from factmill.streaming import jobs
 
@@ -493,6 +493,35 @@ def audit_perf_stats(s: SparkSession, d: str) -> DataFrame:
     return store.audit_performance(table(s, d, "events").withColumnRenamed("event_type", "tier"))
 
 
+# flows
+
+
+@query
+def record_projection(s: SparkSession, d: str) -> DataFrame:
+    """Records of three kinds of source from the facts' names as extractor lists."""
+    f = views.facts(s, d)
+    of = lambda t: F.collect_list(F.when(F.col("entity_type") == t, F.col("entity_name")))
+    lists = f.groupBy(F.col("subject_id").alias("doc_id")).agg(of("diagnosis").alias("diagnoses"), of("medication").alias("medications"), of("test_result").alias("test_results"), of("symptom").alias("notes"), of("measurement").alias("recommendations"))
+    lists = lists.withColumns({"confidence": F.lit(0.8), "trust_level": F.lit(4)})
+    out = records.from_lists(lists, "document").unionByName(records.from_lists(lists, "web")).unionByName(records.from_lists(lists, "ai_response"))
+    return out.groupBy("source_type", "fact_type", "tier", "trust_level", F.round("confidence", 4).alias("confidence"), "content").agg(F.count("*").alias("n"))
+
+
+@query
+def ingest_pipeline(s: SparkSession, d: str) -> DataFrame:
+    drugs = views.facts(s, d).where("entity_type = 'medication'").groupBy(F.col("entity_name").alias("drug")).agg(F.count("*").alias("n"))
+    return flows.ingest(s, _docs(s, d), drugs)
+
+
+@query
+def answer_pipeline(s: SparkSession, d: str) -> DataFrame:
+    """The first turn of a conversation is the question, its other turns the responses."""
+    c = table(s, d, "conversations").withColumnRenamed("conv_id", "id")
+    first = c.groupBy("id").agg(F.min_by("text", "turn").alias("text"), F.min("turn").alias("turn"))
+    others = c.join(first.select("id", F.col("turn").alias("asked")), "id").where("turn > asked").select("id", "text")
+    return flows.answer(first.select("id", "text"), others)
+
+
 # streams
 
 

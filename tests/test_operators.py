@@ -235,3 +235,41 @@ def test_page_scan():
 def test_specialties(spark):
     got = specialties(spark, ["specialty: epilepsy\nstatus: stub\nkeywords:\n  - eeg\n  - seizure\n"]).first()
     assert tuple(got) == ("epilepsy", True, ["eeg", "seizure"])
+
+
+def test_records(spark):
+    from factmill.operators import records
+
+    cols = "doc_id long, confidence double, extraction_method string, entities array<struct<type: string, text: string, structured: map<string,string>>>"
+    rows = [(1, 0.8, "spacy", [("medication", "Aspirin", {"dose": "10mg", "frequency": ""}), ("test_result", "Hb", {"value": "7", "unit": "g"}), ("odd", " x ", None), ("note", "  ", None)])]
+    got = records.from_entities(spark.createDataFrame(rows, cols)).orderBy("ord").collect()
+    assert [(r["fact_type"], r["content"]) for r in got] == [("medication", "Medication: Aspirin 10mg"), ("test_result", "Test: Hb: 7 g"), ("note", "x")]
+    food = [(1, 0, "Rice", "рис", 1, None, 2, None, "SAFE", 0.9), (1, 1, "rice ", None, 3, None, None, None, None, 0.9), (1, 2, " ", None, None, None, None, None, None, 0.9)]
+    fcols = "doc_id long, ord int, food_name string, food_name_ru string, ibs_score int, diverticulitis_score int, oxalates_score int, crystalluria_score int, safety_category string, confidence double"
+    note = records.from_foods(spark.createDataFrame(food, fcols)).collect()
+    assert [(r["content"], r["tags"]) for r in note] == [("Food: Rice (ru: рис) | Scores: IBS=1, Oxalates=2 | Safety: SAFE", ["food_guide", "food_entry", "safe"])]
+    stale = spark.createDataFrame([("diagnosis", "asthma", "Diagnosis: [PERSON]"), ("note", "[DATE]", "[DATE]"), ("note", "a", "a")], "fact_type string, name string, content string")
+    assert [(r["shown"], r["stale"]) for r in records.shown(stale).collect()] == [("Diagnosis: asthma", True), ("[DATE]", True), ("a", False)]
+
+
+def test_ingest_blocks_whole_documents(spark):
+    from factmill.plans import flows
+
+    texts = ["He takes Lamotrigine 5 mg and Aspirin 100 mg daily.", "She takes Aspirin 100 mg every day.", "He takes Ibuprofen 100 mg every day.", "nothing to be found in this text"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    drugs = spark.createDataFrame([("valproate", 1), ("warfarin", 1)], "drug string, n int")
+    got = {(r["doc_id"], r["name"]): r["route"] for r in flows.ingest(spark, df, drugs).collect()}
+    assert got == {(0, "Lamotrigine"): "blocked_ddi", (0, "Aspirin"): "blocked_ddi", (1, "Aspirin"): "written", (2, "Ibuprofen"): "queued"}
+
+
+def test_drain(spark, tmp_path):
+    from factmill.streaming import jobs
+
+    source = tmp_path / "in"
+    source.mkdir()
+    (source / "a.json").write_text('{"id": 1, "v": "a", "seq": 1}\n{"id": 1, "v": "b", "seq": 2}\n')
+    args = (spark, str(source), "id long, v string, seq long", str(tmp_path / "out"), str(tmp_path / "ck"))
+    jobs.drain(*args)
+    (source / "b.json").write_text('{"id": 1, "v": "c", "seq": 3}\n{"id": 2, "v": "d", "seq": 1}\n')
+    jobs.drain(*args)
+    assert sorted((r["id"], r["v"]) for r in spark.read.parquet(str(tmp_path / "out" / "v1")).collect()) == [(1, "c"), (2, "d")]
