@@ -152,3 +152,22 @@ def route_choice(scores: DataFrame) -> DataFrame:
 def degradation(confidence: Column, latency_ms: Column, success_rate: Column) -> Column:
     """Why a result is not good enough, null if it is."""
     return F.when(confidence < C.DEFAULT.preferred_confidence, "confidence_too_low").when(latency_ms > C.DEFAULT.max_latency_ms, "latency_too_high").when(success_rate < C.DEFAULT.min_success_rate, "reliability_too_low")
+
+
+def fallback(scores: DataFrame, results: DataFrame) -> DataFrame:
+    """(doc_id, intended, actual, failure_count) from route_scores() and results (doc_id, connector, confidence, latency_ms, success_rate).
+
+    The chosen route is tried first, then the others by score; the first good enough result is taken, else the last. A connector without result fails. An
+    intended spaCy result of low confidence is kept.
+    """
+    intended = route_choice(scores).select("doc_id", F.col("connector").alias("intended"))
+    order = F.array_position(F.array(*[F.lit(c) for c in C.CONNECTORS]), F.col("connector"))
+    tries = scores.join(intended, "doc_id").join(results, ["doc_id", "connector"], "left")
+    bad = F.col("confidence").isNull() | degradation(F.col("confidence"), F.col("latency_ms"), F.col("success_rate")).isNotNull()
+    kept = (F.col("connector") == "spacy") & (F.col("intended") == "spacy") & (F.col("confidence") < C.DEFAULT.preferred_confidence)
+    key = F.struct(F.when(F.col("connector") == F.col("intended"), 0).otherwise(1).alias("later"), (-F.col("score")).alias("s"), order.alias("o"), F.coalesce(bad & ~F.coalesce(kept, F.lit(False)), F.lit(True)).alias("bad"), "connector")
+    lined = tries.groupBy("doc_id", "intended").agg(F.array_sort(F.collect_list(key)).alias("t"))  # three entries
+    good = F.filter("t", lambda x: ~x["bad"])
+    taken = F.coalesce(F.get(good, F.lit(0)), F.element_at("t", -1))
+    place = F.array_position("t", taken)
+    return lined.select("doc_id", "intended", taken["connector"].alias("actual"), (place - 1 + F.when(F.size(good) == 0, 1).otherwise(0)).cast("long").alias("failure_count"))

@@ -199,6 +199,12 @@ ORACLES: dict[str, str] = {
     "connector_profile": f"WITH {PROFILE} SELECT connector, attempts, CAST(avg_latency_ms AS DOUBLE) AS avg_latency_ms, CAST(avg_confidence AS DOUBLE) AS avg_confidence, CAST(cost_estimate AS DOUBLE) AS cost_estimate, CAST(success_rate AS DOUBLE) AS success_rate FROM pr",
     "route_scores": f"WITH {ROUTES} SELECT doc_id, connector, place, score, eligible FROM r",
     "route_choice": f"WITH {ROUTES} SELECT doc_id, connector, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY eligible DESC, CASE WHEN eligible THEN cost ELSE 0 END, score DESC, place) AS k FROM r) WHERE k = 1",
+    "route_fallback": f"""WITH {ROUTES}, x AS (SELECT doc_id, extractor AS connector, max(confidence) AS confidence, max(latency_ms) AS latency_ms FROM ({EXTRACTIONS}) GROUP BY 1, 2),
+ g AS (SELECT r.*, first_value(connector) OVER (PARTITION BY doc_id ORDER BY eligible DESC, CASE WHEN eligible THEN cost ELSE 0 END, score DESC, place) AS intended FROM r),
+ b AS (SELECT g.doc_id, g.connector, intended, row_number() OVER (PARTITION BY g.doc_id ORDER BY g.connector <> intended, g.score DESC, CASE g.connector WHEN 'spacy' THEN 1 WHEN 'phi3' THEN 2 ELSE 3 END) AS k,
+  x.confidence IS NULL OR ((x.confidence < 0.78 OR x.latency_ms > 180 OR pr.success_rate < 0.75) AND NOT (g.connector = 'spacy' AND intended = 'spacy' AND x.confidence < 0.78)) AS bad FROM g LEFT JOIN x ON x.doc_id = g.doc_id AND x.connector = g.connector LEFT JOIN pr ON pr.connector = g.connector)
+ SELECT doc_id, intended, coalesce(arg_min(connector, k) FILTER (NOT bad), arg_max(connector, k)) AS actual, coalesce(min(k) FILTER (NOT bad) - 1, 3) AS failure_count FROM b GROUP BY 1, 2""",
+    "timeline_points": f"SELECT DISTINCT entity_type, lower(entity_name) AS canonical_name, subject_id AS subject, value, date, id AS source_fact_id FROM ({FACTS}) WHERE value IS NOT NULL AND date IS NOT NULL",
     "ddi_gate": f"""WITH {HELD}, g AS (SELECT m.id, max(CASE severity WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 ELSE 1 END) AS rk, count(*) AS n FROM m JOIN both_ways w ON w.a = m.drug JOIN m h ON h.subject_id = m.subject_id AND h.drug = w.b GROUP BY m.id)
  SELECT m.id, CASE rk WHEN 3 THEN 'block' WHEN 2 THEN 'review' ELSE 'allow' END AS decision, CASE rk WHEN 3 THEN 'high_blocked' WHEN 2 THEN 'medium' WHEN 1 THEN 'low' ELSE 'clear' END AS ddi_status, CASE rk WHEN 3 THEN 'block_write' WHEN 2 THEN 'needs_review' WHEN 1 THEN 'allow_with_note' ELSE 'allow' END AS safety_action, coalesce(n, 0) AS n_findings FROM m LEFT JOIN g ON g.id = m.id""",
     "ddi_score_modifier": f"WITH {HELD}, h AS (SELECT DISTINCT subject_id, drug FROM m), g AS (SELECT m.id, sum(CASE severity WHEN 'HIGH' THEN 40 WHEN 'MEDIUM' THEN 20 ELSE 5 END) AS loss FROM m JOIN both_ways w ON w.a = m.drug JOIN h ON h.subject_id = m.subject_id AND h.drug = w.b GROUP BY m.id) SELECT m.id, CAST(greatest(0, (100 - coalesce(loss, 0)) / 100) AS DOUBLE) AS ddi_score FROM m LEFT JOIN g ON g.id = m.id",

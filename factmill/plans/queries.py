@@ -12,6 +12,7 @@ from factmill.functions import annotate as A
 from factmill.functions import text as T
 from factmill.operators import dedup, extract, promote, records, resolve, safety, score, store, vector
 from factmill.plans import flows, views
+from factmill.sources import sinks
 from factmill.sources.tables import table, web_pages
 from factmill.streaming import jobs
 
@@ -337,6 +338,13 @@ def route_choice(s: SparkSession, d: str) -> DataFrame:
     return extract.route_choice(_routes(s, d))
 
 
+@query
+def route_fallback(s: SparkSession, d: str) -> DataFrame:
+    profile = extract.connector_profiles(_attempts(s, d)).select("connector", "success_rate")
+    results = views.extractions(s, d).groupBy("doc_id", F.col("extractor").alias("connector")).agg(F.max("confidence").alias("confidence"), F.max("latency_ms").alias("latency_ms")).join(F.broadcast(profile), "connector")
+    return extract.fallback(_routes(s, d), results)
+
+
 # medication safety
 
 
@@ -496,6 +504,11 @@ def audit_perf_stats(s: SparkSession, d: str) -> DataFrame:
 # flows
 
 
+@query
+def timeline_points(s: SparkSession, d: str) -> DataFrame:
+    return sinks.timeline(views.facts(s, d)).drop("unit")
+
+
 @query
 def record_projection(s: SparkSession, d: str) -> DataFrame:
     """Records of three kinds of source from the facts' names as extractor lists."""
