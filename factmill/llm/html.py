@@ -48,6 +48,7 @@ LABELLED = np.array([
     (12, 0.0, 60, 0.0, 55, 0.0, 0, 0, 0, 1), (4, 0.0, 70, 0.0, 80, 0.0, 0, 0, 0, 1), (30, 0.2, 4, 1.0, 60, 0.0, 0, 0, 0, 1),
     (6, 0.0, 2, 1.0, 80, 0.0, 0, 0, 1, 1), (5, 0.0, 60, 0.0, 75, 0.0, 0, 0, 1, 1), (3, 0.0, 2, 1.0, 40, 0.0, 0, 0, 1, 1),
     (45, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 1), (60, 0.0, 60, 0.0, 2, 1.0, 0, 0, 0, 1), (28, 0.0, 3, 0.0, 4, 1.0, 0, 0, 0, 1),
+    (1, 1.0, 0, 0.0, 48, 0.0, 0, 0, 0, 0), (3, 1.0, 0, 0.0, 90, 0.0, 0, 0, 0, 0), (2, 1.0, 4, 1.0, 60, 0.0, 0, 0, 0, 0),
     (1, 1.0, 0, 0.0, 1, 1.0, 0, 0, 0, 0), (2, 1.0, 2, 1.0, 6, 0.0, 0, 0, 0, 0), (5, 0.8, 60, 0.0, 4, 1.0, 0, 0, 0, 0),
     (3, 0.0, 2, 1.0, 3, 1.0, 0, 0, 0, 0), (8, 0.0, 5, 0.9, 0, 0.0, 0, 0, 0, 0), (25, 0.9, 70, 0.0, 3, 1.0, 0, 0, 0, 0),
     (40, 0.8, 3, 1.0, 3, 1.0, 0, 0, 0, 0), (4, 0.0, 3, 1.0, 5, 0.8, 0, 0, 1, 0), (6, 0.0, 0, 0.0, 3, 1.0, 0, 0, 0, 0),
