@@ -1,8 +1,8 @@
-"""Benchmark decontamination: rare n-gram seeds join passages to test items, and Smith-Waterman alignment over words scores them.
+"""Benchmark decontamination: n-gram seeds join passages to test items, and Smith-Waterman alignment over words scores them.
 
-Pass 1 counts, over the whole corpus, how many documents hold each n-gram of the items. An item's seeds are its rare
-n-grams, rare being relative to the item's own counts, so an item that leaked into very many documents keeps its seeds.
-Pass 2 finds the seeds, opens a window around each group of hits on near diagonals and aligns it with the item.
+Every n-gram of an item is a seed, however many documents hold it, so no number of copies hides an item. Around each group
+of hits on near diagonals a window is opened. A window that shares too few words with its item for any alignment to reach
+the least score is passed over; the others are aligned, equal windows once.
 Items are taken in blocks of bounded size, each block being all that is broadcast; a larger benchmark takes more passes.
 """
 
@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factmill.llm.kernels import U, runs, shingles, utf8, words
+from factmill.llm.kernels import runs, shingles, utf8, words
 
 SEED_WORDS = 3
 #: Bytes of item text in one block.
@@ -23,6 +23,9 @@ BLOCK_BYTES = 8_000_000
 #: Alignment: points of a match, a mismatch and a gap, and the least share of the item's full score.
 MATCH, MISMATCH, GAP = 2, -1, -1
 LEAST_SCORE = 0.5
+#: Seed hits, and words of windows, that are expanded at once; and results of equal windows kept in a task.
+WINDOW_WORDS = 2_000_000
+ALIGNED_MOST = 5_000
 
 
 class Items:
@@ -37,14 +40,10 @@ class Items:
         seed, item, first = shingles(hashes, docs, SEED_WORDS, short=False)
         order = np.lexsort((first, item, seed))
         self.seed, self.item, self.place = seed[order], item[order], (first - bounds[item])[order]
-        self.distinct = np.unique(self.seed)
-
-    def keep_rare(self, counts: np.ndarray) -> None:
-        """Keep, for each item, n-grams in at most 4 times as many documents as its lower quartile, plus 10."""
-        held = counts[np.searchsorted(self.distinct, self.seed)]
-        limit = np.array([4 * np.percentile(held[self.item == i], 25) + 10 if (self.item == i).any() else 0 for i in range(len(self.ids))]) if len(self.seed) else np.zeros(len(self.ids))
-        rare = held <= limit[self.item]
-        self.seed, self.item, self.place = self.seed[rare], self.item[rare], self.place[rare]
+        self.sizes = np.diff(bounds)
+        self.vocabulary, place = np.unique(hashes, return_inverse=True)
+        #: (item, word) as one number, sorted, and how often the item has the word.
+        self.bag, self.times = np.unique(docs * len(self.vocabulary) + place, return_counts=True)
 
 
 def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
@@ -62,8 +61,30 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
-def find(items: Items, hashes: np.ndarray, docs: np.ndarray) -> Iterator[tuple[int, int, float, int, int]]:
-    """(document, item, score, first word, end word) of the best window of each pair that reaches LEAST_SCORE."""
+def _reaching(items: Items, known: np.ndarray, item: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Which windows share enough words with their items for LEAST_SCORE: no alignment matches more words than both sides have in common."""
+    spots = np.flatnonzero(known >= 0)
+    words_at, size = known[spots], len(items.vocabulary)
+    lo, hi = np.searchsorted(spots, first), np.searchsorted(spots, end)
+    least = LEAST_SCORE * items.sizes[item]
+    enough = hi - lo >= least
+    left = np.flatnonzero(enough)
+    n = (hi - lo)[left]
+    for i, j in runs(np.append(0, np.cumsum(n)), WINDOW_WORDS):
+        own, k = left[i:j], n[i:j]
+        each = np.repeat(np.arange(j - i), k)
+        at = np.repeat(lo[own], k) + np.arange(len(each)) - np.repeat(np.cumsum(k) - k, k)
+        key, times = np.unique(each * size + words_at[at], return_counts=True)
+        window = key // size
+        pair = item[own][window] * size + key % size
+        place = np.minimum(np.searchsorted(items.bag, pair), len(items.bag) - 1)
+        shared = np.where(items.bag[place] == pair, np.minimum(times, items.times[place]), 0)
+        enough[own] = np.bincount(window, shared, j - i) >= least[own]
+    return enough
+
+
+def find(items: Items, hashes: np.ndarray, docs: np.ndarray, aligned: dict | None = None) -> Iterator[tuple[int, int, float, int, int]]:
+    """(document, item, score, first word, end word) of the best window of each pair that reaches LEAST_SCORE. aligned: results of windows seen before."""
     if not len(items.seed):
         return
     seed, doc, at = shingles(hashes, docs, SEED_WORDS, short=False)
@@ -74,36 +95,54 @@ def find(items: Items, hashes: np.ndarray, docs: np.ndarray) -> Iterator[tuple[i
         return
     lo, doc, at = lo[hit], doc[hit], at[hit]
     n = np.searchsorted(items.seed, seed[hit], "right") - lo
+    known = np.minimum(np.searchsorted(items.vocabulary, hashes), len(items.vocabulary) - 1)
+    known[items.vocabulary[known] != hashes] = -1
+    aligned = {} if aligned is None else aligned
+    ends = np.append(np.flatnonzero(np.append(True, doc[1:] != doc[:-1])), len(doc))
+    for i, j in runs(np.append(0, np.cumsum(n))[ends], WINDOW_WORDS):
+        part = slice(ends[i], ends[j])
+        yield from _find(items, hashes, docs, known, lo[part], n[part], doc[part], at[part], aligned)
+
+
+def _find(items: Items, hashes: np.ndarray, docs: np.ndarray, known: np.ndarray, lo: np.ndarray, n: np.ndarray, doc: np.ndarray, at: np.ndarray, aligned: dict) -> Iterator[tuple[int, int, float, int, int]]:
     each = np.repeat(np.arange(len(lo)), n)
     post = np.repeat(lo, n) + np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
     pair_doc, pair_item = doc[each], items.item[post]
     start = at[each] - items.place[post]
     order = np.lexsort((start, pair_item, pair_doc))
     pair_doc, pair_item, start = pair_doc[order], pair_item[order], start[order]
-    sizes = np.array([len(w) for w in items.words])
+    sizes = items.sizes
     slack = sizes[pair_item] // 2
     cut = np.ones(len(start), bool)
     cut[1:] = (pair_doc[1:] != pair_doc[:-1]) | (pair_item[1:] != pair_item[:-1]) | (np.diff(start) > slack[1:])
     heads = np.flatnonzero(cut)
-    tails = np.append(heads[1:], len(start))
+    last = start[np.append(heads[1:], len(start)) - 1]
+    pair_doc, pair_item, start, slack = pair_doc[heads], pair_item[heads], start[heads], slack[heads]
+    own_first, own_end = np.searchsorted(docs, pair_doc, "left"), np.searchsorted(docs, pair_doc, "right")
+    first, end = np.maximum(own_first, start - slack), np.minimum(own_end, last + sizes[pair_item] + slack)
     best: dict[tuple[int, int], tuple[float, int, int]] = {}
-    for h, t in zip(heads.tolist(), tails.tolist(), strict=True):
-        d, i = int(pair_doc[h]), int(pair_item[h])
+    for x in np.flatnonzero(_reaching(items, known, pair_item, first, end)).tolist():
+        d, i = int(pair_doc[x]), int(pair_item[x])
         m = int(sizes[i])
         if best.get((d, i), (0,))[0] >= 1.0:
             continue
-        own = np.searchsorted(docs, d, "left"), np.searchsorted(docs, d, "right")
-        s = int(start[h])
-        if s >= own[0] and s + m <= own[1] and np.array_equal(hashes[s : s + m], items.words[i]):
-            best[d, i] = (1.0, s - int(own[0]), s + m - int(own[0]))
+        s, zero = int(start[x]), int(own_first[x])
+        if s >= zero and s + m <= own_end[x] and np.array_equal(hashes[s : s + m], items.words[i]):
+            best[d, i] = (1.0, s - zero, s + m - zero)
             continue
-        a, b = max(int(own[0]), s - m // 2), min(int(own[1]), int(start[t - 1]) + m + m // 2)
-        points, end = align(items.words[i], hashes[a:b])
+        a = int(first[x])
+        text = hashes[a : int(end[x])]
+        key = i, text.tobytes()
+        if key not in aligned:
+            if len(aligned) >= ALIGNED_MOST:
+                aligned.clear()
+            aligned[key] = align(items.words[i], text)
+        points, stop = aligned[key]
         score = points / (MATCH * m)
         if score >= LEAST_SCORE and score > best.get((d, i), (0,))[0]:
-            best[d, i] = (score, max(0, a + end - m) - int(own[0]), a + end - int(own[0]))
-    for (d, i), (score, first, end) in best.items():
-        yield d, i, score, max(0, first), end
+            best[d, i] = (score, max(0, a + stop - m) - zero, a + stop - zero)
+    for (d, i), (score, first_word, end_word) in best.items():
+        yield d, i, score, max(0, first_word), end_word
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[Items]:
@@ -117,32 +156,6 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[Item
             yield Items([r[0] for r in rows], [r[1] for r in rows])
 
 
-def _rare(docs: DataFrame, items: Items, text_col: str) -> None:
-    """Count the documents that hold each n-gram of the block, over all rows, and keep the rare ones."""
-    distinct = items.distinct
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(distinct), np.int64)
-        for batch in batches:
-            data, at = utf8(batch.column(0))
-            for i, j in runs(at, 500_000):
-                hashes, doc, _ = words(data[at[i] : at[j]], at[i : j + 1] - at[i])
-                seed, doc, _ = shingles(hashes, doc, SEED_WORDS, short=False)
-                k = np.searchsorted(distinct, seed)
-                k[k == len(distinct)] = 0
-                hit = distinct[k] == seed
-                pairs = np.unique(doc[hit] * len(distinct) + k[hit])
-                total += np.bincount(pairs % len(distinct), minlength=len(distinct))
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["seed", "n"])
-
-    if len(distinct):
-        counts = np.zeros(len(distinct), np.int64)
-        for r in docs.select(text_col).mapInArrow(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).collect():
-            counts[r["seed"]] = r["n"]
-        items.keep_rare(counts)
-
-
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """One row per (row of docs, item) that aligns: id, item_id, score (share of the full score), first_word, end_word.
 
@@ -153,7 +166,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     schema = f"`{id_col}` {id_kind.simpleString()}, `{item_col}` {item_kind.simpleString()}, score double, first_word long, end_word long"
     out = docs.sparkSession.createDataFrame([], schema)
     for items in _blocks(benchmark, item_col, text_col):
-        _rare(docs, items, text_col)
 
         def scan(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -169,16 +181,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
 def _scan(items: Items, column: pa.Array) -> Iterator[tuple[int, int, float, int, int]]:
     data, at = utf8(column)
+    aligned: dict = {}
     for i, j in runs(at, 500_000):
         hashes, doc, _ = words(data[at[i] : at[j]], at[i : j + 1] - at[i])
-        for d, item, score, first, end in find(items, hashes, doc):
+        for d, item, score, first, end in find(items, hashes, doc, aligned):
             yield i + d, item, score, first, end
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """docs without the rows that align with an item; columns and all other rows stay as they are."""
     for items in _blocks(benchmark, item_col, text_col):
-        _rare(docs, items, text_col)
 
         def clean(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
             for batch in batches:

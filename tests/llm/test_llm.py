@@ -9,11 +9,12 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from factmill.llm import components, decontaminate, embeddings, html, jaccard, lm, pretoken, quality, secrets, sharding, tokens
+from factmill.llm import components, decontaminate, embeddings, html, jaccard, kernels, lm, pretoken, quality, secrets, sharding, tokens
 from factmill.llm.queries import ORACLES, QUERIES
 from tests.compare import compare, connect
 
@@ -420,6 +421,34 @@ def test_leaks(spark):
     assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == set(range(120)) - {i for i, _ in want}
 
 
+@pytest.mark.parametrize("copies", [10, 11, 1000])
+def test_leaks_of_repeated_copies(spark, copies):
+    """An edited copy and a part of an item, each in many documents: the n-grams that are left are as frequent as the copies."""
+    rng = random.Random(13)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(4)) for _ in range(2000)]
+    items = [[rng.choice(vocabulary) for _ in range(39)] for _ in range(2)]
+    edited = [f"edit{i}" if i in (5, 14, 23, 32) else w for i, w in enumerate(items[0])]
+    texts = [" ".join([*[rng.choice(vocabulary) for _ in range(20)], *(edited if i % 2 else items[1][8:31])]) for i in range(2 * copies)]
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in decontaminate.leaks(docs(spark, texts), bench).collect()}
+    assert set(got) == {(i, 1 - i % 2) for i in range(2 * copies)}
+    assert all(score >= (0.84 if item == 0 else 0.58) for (_, item), score in got.items())
+
+
+def test_windows_passed_over_reach_no_score():
+    """With few words, many windows have seeds; those that are not aligned have no alignment that scores."""
+    rng = np.random.default_rng(14)
+    texts = [" ".join(map(str, rng.zipf(1.5, 30) % 50)) for _ in range(40)]
+    items = decontaminate.Items(list(range(40)), texts)
+    data, at = kernels.utf8(pa.array([" ".join(map(str, rng.zipf(1.5, 200) % 50)) for _ in range(20)]))
+    hashes, doc, _ = kernels.words(data, at)
+    got = {(d, i): score for d, i, score, *_ in decontaminate.find(items, hashes, doc)}
+    whole = {(d, i): decontaminate.align(items.words[i], hashes[doc == d])[0] / 60 for d in range(20) for i in range(40)}
+    assert got and len(got) < len(whole)
+    assert all(whole[k] >= score for k, score in got.items())
+    assert sum(whole[k] >= 0.5 for k in whole) == len(got)
+
+
 def test_align():
     a = np.array([1, 2, 3, 4, 5], np.uint64)
     assert decontaminate.align(a, np.array([9, 1, 2, 3, 4, 5, 9], np.uint64)) == (10, 6)
