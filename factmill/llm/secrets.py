@@ -1,8 +1,10 @@
 """Secret scans with DataFrame functions only: three base patterns, and character Markov models for the rest.
 
 Positions come from `split`: the pieces between the matches and the matches themselves alternate, so their running
-lengths are the code point offsets. Candidates of the method are long runs of key characters outside the base spans;
-two first-order character models, of random strings and of ordinary identifiers, are compared by log-likelihood ratio.
+lengths are the code point offsets. Candidates of the method are long runs of key characters, or what base spans leave
+of them; two first-order character models, of random strings and of ordinary identifiers, are compared by the
+log-likelihood ratio of the best stretch. A candidate with such a stretch is a secret as a whole, for the stretch alone
+can miss the secret's ends.
 """
 
 from __future__ import annotations
@@ -82,15 +84,37 @@ def ratios(random: list[list[int]], ordinary: list[list[int]], weight: float) ->
     return [math.log(x[i][j] / y[i][j]) for i in range(size) for j in range(size)]
 
 
-def llr(token: Column, model: list[float]) -> Column:
-    """Log-likelihood ratio of a string over the alphabet: above 0, random is likelier."""
+def _gains(token: Column, model: list[float]) -> Column:
+    """Log ratio of each pair of neighbouring characters of a string of two or more."""
     table = F.split(F.lit(",".join(f"{x:.6f}" for x in model)), ",").cast("array<double>")
     place = lambda i: F.position(F.substr(token, i, F.lit(1)), F.lit(ALPHABET)) - 1
-    return F.aggregate(
-        F.sequence(F.lit(1), F.length(token) - 1),
-        F.lit(0.0),
-        lambda total, i: total + F.coalesce(F.get(table, place(i) * len(ALPHABET) + place(i + 1)), F.lit(0.0)),
+    return F.transform(F.sequence(F.lit(1), F.length(token) - 1), lambda i: F.coalesce(F.get(table, place(i) * len(ALPHABET) + place(i + 1)), F.lit(0.0)))
+
+
+def llr(token: Column, model: list[float]) -> Column:
+    """Log-likelihood ratio of a string over the alphabet: above 0, random is likelier."""
+    return F.aggregate(_gains(token, model), F.lit(0.0), lambda total, x: total + x)
+
+
+def best_llr(token: Column, model: list[float]) -> Column:
+    """The largest log-likelihood ratio of any stretch of a string, so that ordinary words around a random stretch don't outweigh it."""
+    none = F.struct(F.lit(0.0).alias("here"), F.lit(0.0).alias("best"))
+    grow = lambda s, x: F.struct(F.greatest(s["here"] + x, F.lit(0.0)).alias("here"), F.greatest(s["best"], s["here"] + x).alias("best"))
+    return F.aggregate(_gains(token, model), none, grow)["best"]
+
+
+def _outside(c: Column, base: Column) -> Column:
+    """The parts of a run that no base span covers, as an array of spans."""
+    part = lambda first, end: F.struct(first.alias("start"), c["rank"].alias("rank"), end.alias("end"), F.substr(c["match"], (first - c["start"] + 1).cast("int"), (end - first).cast("int")).alias("match"))
+    over = F.filter(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
+    none = F.array().cast("array<struct<start:bigint,rank:int,end:bigint,match:string>>")
+    after = F.aggregate(
+        over,
+        F.struct(c["start"].alias("at"), none.alias("parts")),
+        lambda s, b: F.struct(F.greatest(s["at"], b["end"]).alias("at"), F.when(b["start"] > s["at"], F.concat(s["parts"], F.array(part(s["at"], b["start"])))).otherwise(s["parts"]).alias("parts")),
+        lambda s: F.when(s["at"] < c["end"], F.concat(s["parts"], F.array(part(s["at"], c["end"])))).otherwise(s["parts"]),
     )
+    return F.when(F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])), after).otherwise(F.array(c))
 
 
 def _running(lengths: Column) -> Column:
@@ -125,11 +149,9 @@ def find_secrets(docs: DataFrame, model: list[float] | None = None, text_col: st
     df = df.withColumns({name: F.regexp_extract_all("__text", F.lit(p), F.lit(0)) for name, p in patterns})
     df = df.withColumns({f"{name}_at": _spans("__text", name, p, rank) for rank, (name, p) in enumerate(patterns)})
     df = df.withColumn("__assign_at", F.filter("__assign_at", lambda s: F.length(F.regexp_extract(s["match"], ASSIGN, 2)) >= ASSIGN_LEAST))
-    df = df.withColumn("__base", F.concat("__assign_at", "__access_at", "__hex_at"))
-    likely = F.filter(
-        "__runs_at",
-        lambda c: ~F.exists("__base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])) & (llr(c["match"], model) >= LEAST_LLR),
-    )
+    df = df.withColumn("__base", F.array_sort(F.concat("__assign_at", "__access_at", "__hex_at")))
+    parts = F.flatten(F.transform("__runs_at", lambda c: _outside(c, F.col("__base"))))
+    likely = F.filter(parts, lambda c: (F.length(c["match"]) > 1) & (best_llr(c["match"], model) >= LEAST_LLR))
     df = df.withColumn(out, F.array_sort(F.concat("__base", F.when(F.size("__runs_at") > 0, likely).otherwise(F.slice("__runs_at", 1, 0)))))
     return df.select(*[F.col(c) for c in docs.columns if c != out], out)
 
