@@ -14,9 +14,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Fixed values of HTML: elements that end a text block, that hold no page text, and that hold no prose of an article.
+#: Fixed values of HTML: elements that end a text block, whose raw text runs to their closing tag or the page's end, that hold no page text if they are closed, and that hold no prose of an article.
 BLOCK = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split())
-SILENT = "script style template noscript textarea svg math iframe object canvas audio video select button head title".split()
+RAW = "script style textarea title iframe".split()
+SILENT = "template noscript svg math object canvas audio video select button".split()
 CHROME = set("nav header footer aside form menu dialog".split())
 MAIN = {"article", "main"}
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -24,7 +25,14 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 FURNITURE = set("nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside ad ads advert adverts advertisement banner promo promoted sponsor sponsored cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup share sharing social related recommended recommendations comment comments disqus respond reply replies widget toolbar pagination pager login search copyright legal skip hidden".split())
 ARTICLE = set("article main content post entry story articlebody post-content entry-content article-content article-body post-body story-body main-content page-content".split())
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(" + "|".join(SILENT) + r")\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)", re.S | re.I)
+_ATTRIBUTES = r"(?:\"[^\"]*\"|'[^']*'|[^>\"'])*"
+_TAG = re.compile(
+    r"<!--.*?(?:-->|\Z)|<(" + "|".join(RAW) + r")\b[^>]*>.*?(?:</\1\s*>|\Z)|<(?:svg|math)\b" + _ATTRIBUTES + r"(?<=/)>"
+    # up to the closing tag, over one level of the same element inside
+    r"|<(" + "|".join(SILENT) + r")\b[^>]*>(?:[^<]|<(?!/?\2\b)|<\2\b[^>]*(?<=/)>|<\2\b[^>]*(?<!/)>(?:[^<]|<(?!/?\2\b))*+</\2\s*>)*+</\2\s*>"
+    r"|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)(" + _ATTRIBUTES + r")(?:>|\Z)",
+    re.S | re.I,
+)
 _MARK = re.compile(r"""\b(class|id|role|itemprop|style|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 FEATURES = ("words", "links", "before_words", "before_links", "after_words", "after_links", "place", "page_has_article", "heading")
 
@@ -110,30 +118,28 @@ def blocks(html: str) -> list[tuple[str, int, int, int, bool]]:
     for m in _TAG.finditer(html):
         add(html[at : m.start()])
         at = m.end()
-        if m[3] is None:
-            if m[1] and m[1].lower() in BLOCK:
-                end()
+        if m[4] is None:
             continue
-        tag = m[3].lower()
+        tag = m[4].lower()
         if tag == "a":
-            in_link = not m[2]
+            in_link = not m[3]
         elif tag in ("br", "img", "wbr"):
             text.append(" ")
         if tag in BLOCK:
             end()
-            if not m[2]:
+            if not m[3]:
                 heading = tag in ("h1", "h2", "h3", "h4", "h5", "h6")
                 in_link = False
-        if m[2]:
+        if m[3]:
             for i in range(len(open_tags) - 1, -1, -1):
                 if open_tags[i][0] == tag:
                     del open_tags[i:]
                     break
-        elif tag in VOID or m[4].endswith("/"):
+        elif tag in VOID or tag == "head" or m[5].endswith("/"):
             continue
-        elif tag in BLOCK - {"p", "li", "td", "th", "tr", "dd", "dt", "option"} or (m[4] and tag in ("span", "p", "li", "td")):
+        elif tag in BLOCK - {"p", "li", "td", "th", "tr", "dd", "dt", "option"} or (m[5] and tag in ("span", "p", "li", "td")):
             kind = -1 if tag in CHROME else 1 if tag in MAIN else 0
-            for name, a, b, c in _MARK.findall(m[4]):
+            for name, a, b, c in _MARK.findall(m[5]):
                 value = (a or b or c).lower()
                 name = name.lower()
                 if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):

@@ -364,6 +364,24 @@ def test_html():
     assert html.main_text(plain, tree).count("\n") == 1
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<head><title>T</title><meta charset=utf-8><body>{}",
+        "<head id=header><script>x</script>{}",
+        "<svg width='1' />{}<svg><text>no</text></svg>",
+        "<math/>{}",
+        "<svg><text>no</text><svg><text>no</text></svg><svg/><text>no</text></svg>{}",
+        "<button>{}<button>no</button>",
+        "<noscript>{}",
+        "{}<script>no <p>no</p>",
+        "{}<title>no <p>no</p>",
+    ],
+)
+def test_html_of_optional_and_missing_ends(page):
+    assert html.main_text(page.format("<article><p>First line here.</p><p>Second line.</p></article>"), html.grow(html.LABELLED)) == "First line here.\nSecond line."
+
+
 def test_html_on_pages(spark):
     pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     for r in QUERIES["op7_html_extraction"](spark, SF).collect():
