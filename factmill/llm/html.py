@@ -25,6 +25,10 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 FURNITURE = set("nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside ad ads advert adverts advertisement banner promo promoted sponsor sponsored cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup share sharing social related recommended recommendations comment comments disqus respond reply replies widget toolbar pagination pager login search copyright legal skip hidden".split())
 ARTICLE = set("article main content post entry story articlebody post-content entry-content article-content article-body post-body story-body main-content page-content".split())
 
+#: Values that name the page's article beyond doubt, so that they count inside furniture, and parts of layout classes that say nothing of the element itself.
+OWN_ARTICLE = set("articlebody post-content entry-content article-content article-body post-body story-body main-content page-content".split())
+_LAYOUT = re.compile(r"^(?:no|has|with|without|layout)[-_]|[-_](?:wrap|wrapper|layout)$")
+
 _ATTRIBUTES = r"(?:\"[^\"]*\"|'[^']*'|[^>\"'])*"
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<(" + "|".join(RAW) + r")\b[^>]*>.*?(?:</\1\s*>|\Z)|<(?:svg|math)\b" + _ATTRIBUTES + r"(?<=/)>"
@@ -89,6 +93,10 @@ def judge(tree: tuple | float, row: tuple) -> bool:
     return tree >= 0.5
 
 
+#: Marks of a container besides -1 (furniture), 0 and 1 (article outside furniture): an article anywhere, and hidden.
+OWN, HIDDEN = 2, -2
+
+
 def blocks(html: str) -> list[tuple[str, int, int, int, bool]]:
     """(text, words, linked words, place, heading) of every flat text block, in page order. Unclosed tags and cut pages are fine."""
     out: list = []
@@ -96,12 +104,21 @@ def blocks(html: str) -> list[tuple[str, int, int, int, bool]]:
     text: list[str] = []
     linked, in_link, heading = 0, False, False
 
+    def place() -> int:
+        """The innermost mark decides; what is hidden stays so, and an article of weak mark inside furniture is furniture."""
+        now = 0
+        for _, kind in open_tags:
+            if kind == HIDDEN:
+                return -1
+            if kind in (-1, OWN) or (kind == 1 and now >= 0):
+                now = 1 if kind == OWN else kind
+        return now
+
     def end() -> None:
         nonlocal linked, heading
         joined = " ".join("".join(text).split())
         if joined:
-            kinds = [k for _, k in open_tags]
-            out.append((joined, len(joined.split(" ")), linked, -1 if -1 in kinds else 1 if 1 in kinds else 0, heading))
+            out.append((joined, len(joined.split(" ")), linked, place(), heading))
         text.clear()
         linked = 0
         heading = False
@@ -138,17 +155,19 @@ def blocks(html: str) -> list[tuple[str, int, int, int, bool]]:
         elif tag in VOID or tag == "head" or m[5].endswith("/"):
             continue
         elif tag in BLOCK - {"p", "li", "td", "th", "tr", "dd", "dt", "option"} or (m[5] and tag in ("span", "p", "li", "td")):
-            kind = -1 if tag in CHROME else 1 if tag in MAIN else 0
+            kind = -1 if tag in CHROME else OWN if tag in MAIN else 0
             for name, a, b, c in _MARK.findall(m[5]):
                 value = (a or b or c).lower()
                 name = name.lower()
                 if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
-                    kind = -1
-                elif name in ("class", "id", "role", "itemprop"):
-                    if tag not in ("body", "html", *MAIN) and set(re.split(r"[^a-z]+", value)) & FURNITURE:
-                        kind = -1
-                    elif kind == 0 and set(value.split()) & ARTICLE:
-                        kind = 1
+                    kind = HIDDEN
+                elif name in ("class", "id", "role", "itemprop") and kind != HIDDEN:
+                    own = [x for x in value.split() if not _LAYOUT.search(x)]
+                    furniture = tag not in ("body", "html") and any(set(re.split(r"[^a-z]+", x)) & FURNITURE for x in own)
+                    if furniture:
+                        kind = HIDDEN if "hidden" in own else 1 if tag in MAIN else -1
+                    elif kind in (0, 1) and tag not in MAIN and set(own) & ARTICLE:
+                        kind = OWN if set(own) & OWN_ARTICLE or name == "role" else 1
             if kind or tag in BLOCK:
                 open_tags.append((tag, kind))
             elif tag in ("span",):

@@ -382,6 +382,20 @@ def test_html_of_optional_and_missing_ends(page):
     assert html.main_text(page.format("<article><p>First line here.</p><p>Second line.</p></article>"), html.grow(html.LABELLED)) == "First line here.\nSecond line."
 
 
+@pytest.mark.parametrize("mark", ["class='content-sidebar-wrap'", "class='no-sidebar'", "class=has-header", "class='layout-social'", "id=sidebar", "class='x widget'", "role=navigation"])
+@pytest.mark.parametrize("inner", ["<article>{}</article>", "<main>{}</main>", "<div class=entry-content>{}</div>"])
+def test_html_article_inside_wrappers(mark, inner):
+    page = f"<div {mark}><div class=menu>Home page</div>" + inner.format("<p>First line here.</p><aside>Related</aside><p>Second line.</p>") + "<div class=footer>End</div></div>"
+    assert html.main_text(page, html.grow(html.LABELLED)) == "First line here.\nSecond line."
+
+
+def test_html_furniture_inside_and_hidden():
+    tree = html.grow(html.LABELLED)
+    start = "<article><p>Text of the page.</p></article>"
+    for part in ("<div id=comments><article class=comment><p>Nice one, thanks.</p></article></div>", "<div class=sidebar><div class=content><p>Read this too.</p></div></div>", "<div style='display:none'><article><p>Not seen.</p></article></div>", "<div class=hidden><main>Not seen.</main></div>"):
+        assert html.main_text(start + part, tree) == "Text of the page."
+
+
 def test_html_on_pages(spark):
     pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     for r in QUERIES["op7_html_extraction"](spark, SF).collect():
