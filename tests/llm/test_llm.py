@@ -396,6 +396,36 @@ def test_html_furniture_inside_and_hidden():
         assert html.main_text(start + part, tree) == "Text of the page."
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<div><ul><li><a>Home</a><li><a>News</a></ul></div><div><h1>Title here</h1><p>One short line.</p><ul><li>first item</li><li>second item</li></ul><p>Done.</p></div><div><a>x</a></div>", "Title here\nOne short line.\nfirst item\nsecond item\nDone."),
+        ("<article><h1>T</h1><p class='related-work'>Earlier work did this.</p><div class=legal>The law says so.</div><p>End</p></article>", "T\nEarlier work did this.\nThe law says so.\nEnd"),
+        ("<article><p>See these places for more of it.</p><ul><li><a>a long name of one</a><li><a>another long name</a></ul></article>", "See these places for more of it.\na long name of one\nanother long name"),
+        ("<p>And so on.", "And so on."),
+    ],
+)
+def test_html_by_densities(page, want):
+    assert html.main_text(page, html.grow(html.LABELLED)) == want
+
+
+def test_html_tree_asks_densities_first():
+    tree = html.grow(html.LABELLED)
+    assert html.FEATURES[tree[0]] == "links"
+
+
+def test_html_very_long_pages():
+    body = "<p>" + "some words of a text here " * 20
+    assert html.main_text("<nav><a>Home</a></nav>" + body * 3000, html.grow(html.LABELLED)).count("\n") == 2999
+
+
+def test_html_on_pages_without_their_article_mark(spark):
+    """Taken out of their article element, the same blocks are kept."""
+    tree = html.grow(html.LABELLED)
+    for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
+        assert html.main_text(re.sub("(</?)article>", r"\1div>", r["html"]), tree) == html.main_text(r["html"], tree) != ""
+
+
 def test_html_on_pages(spark):
     pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     for r in QUERIES["op7_html_extraction"](spark, SF).collect():
