@@ -148,3 +148,25 @@ def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         held.append(batch.slice(cut))
     if held:
         yield pa.Table.from_batches(held)
+
+
+_Z = pa.Codec("zstd", compression_level=1)
+
+
+def squeeze(*arrays: np.ndarray) -> bytes:
+    """Arrays as one compressed value; bytes of like place stand together, for small numbers differ in their low bytes alone."""
+    raw = b"".join(np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.dtype.itemsize).T.tobytes() for a in arrays)
+    head = np.array([len(raw), *(len(a) for a in arrays)], np.int64).tobytes()
+    return head + _Z.compress(raw, asbytes=True)
+
+
+def unsqueeze(blob: bytes, *kinds: type) -> list[np.ndarray]:
+    """The arrays of squeeze(), of the given types."""
+    head = np.frombuffer(blob[: 8 * (len(kinds) + 1)], np.int64)
+    raw = np.frombuffer(_Z.decompress(blob[8 * (len(kinds) + 1) :], int(head[0]), asbytes=True), np.uint8)
+    out, at = [], 0
+    for kind, n in zip(kinds, head[1:].tolist(), strict=True):
+        width = np.dtype(kind).itemsize
+        out.append(np.ascontiguousarray(raw[at : at + n * width].reshape(width, n).T).reshape(-1).view(kind))
+        at += n * width
+    return out

@@ -141,6 +141,12 @@ class Pieces:
         """Whether the library must see the whole text: it has a special token's string, or the vocabulary is of another kind."""
         return not self.by_piece or any(s in text for s in self.special)
 
+    def lengths(self, strings: list[str]) -> list[int]:
+        """How many tokens each pre-token gives; nothing is kept."""
+        if self.fast is not None:
+            return [len(self.fast.encode_ordinary(x)) for x in strings]
+        return [len(e.ids) for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
+
     def lookup(self, joined: str, starts: np.ndarray, stops: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(entry of each pre-token); new pre-tokens are encoded."""
         distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)

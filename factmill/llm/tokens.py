@@ -8,36 +8,146 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from factmill.llm.kernels import utf8
-from factmill.llm.pretoken import open_pieces
+from factmill.llm.kernels import squeeze, unsqueeze, utf8
+from factmill.llm.pretoken import CHUNK_BYTES, Pieces, cut, open_pieces
+from factmill.llm.pretoken import pieces as split_long
+from factmill.llm.store import materialize
 
 #: Documents that are handed to the encoder at once.
 ROWS = 256
+#: Documents, pre-tokens and distinct pre-tokens of a block. A block that is full is closed; nothing is left out.
+BLOCK_DOCS, BLOCK_TOKENS, BLOCK_PIECES = 20_000, 2_500_000, 100_000
 
 
-def count_tokens(docs: DataFrame, tokenizer_file: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, n_bytes (UTF-8), n_tokens, over_limit.
+class Frequencies:
+    """Pre-token frequencies of a block of documents: distinct pre-tokens once, and how often each document has which."""
 
-    Every text is cut into pre-tokens; each distinct pre-token of a chunk is looked up once in the worker's table of
-    piece counts (encoded when new), joined to the documents' pre-token frequencies by position, and summed; ids of a
-    document are never built. A narrow operation: no shuffle, memory bounded by a chunk and the table's fixed size.
-    Null and empty texts: 0 bytes, 0 tokens. Repeated rows give repeated results.
-    """
+    def __init__(self, pieces: Pieces):
+        self.pieces = pieces
+        self.clear()
+
+    def clear(self) -> None:
+        self.at: dict[int, int] = {}
+        self.strings: list[str] = []
+        self.entry, self.times, self.doc = [], [], []
+        self.whole: list[int] = []
+        self.tokens = 0
+
+    def full(self) -> bool:
+        return len(self.whole) >= BLOCK_DOCS or self.tokens >= BLOCK_TOKENS or len(self.strings) >= BLOCK_PIECES
+
+    def add(self, texts: list[str]) -> None:
+        parts, owner, first = [], [], len(self.whole)
+        for i, t in enumerate(texts):
+            direct = self.pieces.whole(t)  # it has a special token's string: the library counts it as a whole
+            self.whole.append(len(self.pieces.tokenizer.encode(t, add_special_tokens=False).ids) if direct else 0)
+            for p in () if direct else split_long(t):
+                parts.append(p)
+                owner.append(first + i)
+        lo = 0
+        while lo < len(parts):
+            hi, size = lo, 0
+            while hi < len(parts) and (hi == lo or size + len(parts[hi]) <= CHUNK_BYTES):
+                size += len(parts[hi])
+                hi += 1
+            joined, starts, stops, docs, hashes = cut(parts[lo:hi])
+            distinct, head, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+            place = np.empty(len(distinct), np.int64)
+            for k, h in enumerate(distinct.tolist()):
+                if (found := self.at.get(h)) is None:
+                    found = self.at[h] = len(self.strings)
+                    self.strings.append(joined[starts[head[k]] : stops[head[k]]])
+                place[k] = found
+            pair, n = np.unique(np.asarray(owner[lo:hi], np.int64)[docs] << 32 | place[inverse], return_counts=True)
+            self.doc.append(pair >> 32)
+            self.entry.append((pair & 0xFFFFFFFF).astype(np.uint32))
+            self.times.append(n.astype(np.uint32))
+            self.tokens += len(hashes)
+            lo = hi
+
+    def blob(self) -> bytes:
+        none = [np.zeros(0, np.int64)]
+        return squeeze(np.concatenate(self.doc or none).astype(np.uint32), np.concatenate(self.entry or none).astype(np.uint32), np.concatenate(self.times or none).astype(np.uint32))
+
+
+def _frequencies(docs: DataFrame, tokenizer_file: str, id_col: str, text_col: str) -> DataFrame:
+    """(block, ids, n_bytes, whole, pieces, frequencies): one row for each block of documents."""
     kind = docs.schema[id_col].dataType.simpleString()
+    names = ["block", "ids", "n_bytes", "whole", "pieces", "frequencies"]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = open_pieces(tokenizer_file)
+        from pyspark import TaskContext
+
+        block = TaskContext.get().partitionId() << 24
+        held, ids, sizes = Frequencies(open_pieces(tokenizer_file)), [], []
+
+        def flush() -> pa.RecordBatch:
+            one = lambda values, of: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, of) if isinstance(values, list) else values)
+            row = pa.RecordBatch.from_arrays(
+                [pa.array([block], pa.int64()), one(pa.concat_arrays(ids), None), one(pa.array(np.concatenate(sizes), pa.int64()), None), one(held.whole, pa.int64()), one(held.strings, pa.string()), pa.array([held.blob()], pa.binary())], names
+            )
+            held.clear()
+            ids.clear()
+            sizes.clear()
+            return row
+
         for batch in batches:
             text = batch.column(1)
             _, at = utf8(text)
-            numbers: list[int] = []
             for i in range(0, len(text), ROWS):
-                numbers += pieces.encode([x or "" for x in text.slice(i, ROWS).to_pylist()], False)
-            n = pa.array(numbers, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(at), pa.int64()), n, pa.array(np.asarray(numbers, np.int64) > limit)], ["id", "n_bytes", "n_tokens", "over_limit"])
+                held.add([x or "" for x in text.slice(i, ROWS).to_pylist()])
+                ids.append(batch.column(0).slice(i, ROWS))
+                sizes.append(np.diff(at[i : i + ROWS + 1]))
+                if held.full():
+                    yield flush()
+                    block += 1
+        if ids:
+            yield flush()
+
+    return docs.select(id_col, text_col).mapInArrow(count, f"block long, ids array<{kind}>, n_bytes array<long>, whole array<long>, pieces array<string>, frequencies binary")
+
+
+def _piece_counts(pieces: DataFrame, tokenizer_file: str) -> DataFrame:
+    """(piece, n): the number of tokens of each distinct pre-token."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = open_pieces(tokenizer_file)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own.lengths(batch.column(0).to_pylist()), pa.int64())], ["piece", "n"])
+
+    return pieces.distinct().mapInArrow(count, "piece string, n long")
+
+
+def count_tokens(docs: DataFrame, tokenizer_file: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: id, n_bytes (UTF-8), n_tokens, over_limit.
+
+    Texts are cut into pre-tokens, and blocks of documents keep their frequencies: which distinct pre-token of the block each document has
+    how often. Every distinct pre-token of the corpus is counted once; the counts are joined to the blocks' distinct pre-tokens, so
+    that a frequent one crosses the network once a block, and summed by the frequencies. Only lengths are kept, never a document's ids.
+    Null and empty texts: 0 bytes, 0 tokens. Repeated rows give repeated results; an empty table gives no rows. A text with a special token's
+    string is counted by the library as a whole.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
+    blocks = materialize(_frequencies(docs, tokenizer_file, id_col, text_col), "frequencies")
+    each = blocks.select("block", F.posexplode("pieces").alias("place", "piece"))
+    counted = each.join(_piece_counts(each.select("piece"), tokenizer_file), "piece")
+    # at most BLOCK_PIECES entries and those of one more batch of ROWS documents a block
+    counts = counted.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("place", "n"))).alias("c")).select("block", F.transform("c", lambda x: x["n"]).alias("counts"))
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                ids, sizes, whole, blob, counts = (batch.column(k)[i] for k in range(5))
+                doc, entry, times = unsqueeze(blob.as_py(), np.uint32, np.uint32, np.uint32)
+                n = whole.values.to_numpy().copy()
+                if len(doc):
+                    n += np.bincount(doc, counts.values.to_numpy()[entry] * times.astype(np.int64), len(n)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([ids.values, sizes.values, pa.array(n), pa.array(n > limit)], ["id", "n_bytes", "n_tokens", "over_limit"])
 
-    return docs.select(id_col, text_col).mapInArrow(count, f"id {kind}, n_bytes long, n_tokens long, over_limit boolean").withColumnRenamed("id", id_col)
+    rows = blocks.join(counts, "block", "left").select("ids", "n_bytes", "whole", "frequencies", "counts")
+    return rows.mapInArrow(total, f"id {kind}, n_bytes long, n_tokens long, over_limit boolean").withColumnRenamed("id", id_col)
 
 
 def slots(length: int, capacity: int, slack: float = 0.03) -> list[tuple[int, int]]:

@@ -312,6 +312,20 @@ def test_pieces_against_the_library():
     assert list(pieces.encode(texts, False)) == list(map(len, want))
 
 
+def test_counts_of_awkward_texts(spark):
+    """Each text against the library: nulls, special strings, repeated and very long rows, in several blocks."""
+    texts = [*ODD, *ODD[:4], "many " * 30_000 + "<|endoftext|>", "x y " * 5, "no space" * 9_000]
+    library = Tokenizer.from_file(BPE)
+    got = {r["doc_id"]: (r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in tokens.count_tokens(docs(spark, texts).repartition(3), BPE, 5).collect()}
+    want = [len(library.encode(t or "", add_special_tokens=False).ids) for t in texts]
+    assert got == {i: (len((t or "").encode()), n, n > 5) for i, (t, n) in enumerate(zip(texts, want, strict=True))}
+
+
+def test_squeeze():
+    arrays = [np.arange(5, dtype=np.uint32), np.zeros(0, np.uint16), np.array([1.5, -2e9]), np.array([1 << 63], np.uint64)]
+    assert all((a == b).all() and a.dtype == b.dtype for a, b in zip(arrays, kernels.unsqueeze(kernels.squeeze(*arrays), np.uint32, np.uint16, np.float64, np.uint64), strict=True))
+
+
 def test_counts_and_packing_round_trip(spark):
     df = spark.read.parquet(f"{SF}/documents.parquet")
     library = Tokenizer.from_file(BPE)
