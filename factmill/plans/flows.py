@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factmill import config as C
@@ -10,22 +10,24 @@ from factmill.functions import text as T
 from factmill.operators import extract, promote, records, safety, score
 
 
-def payloads(docs: DataFrame, confidence: float = C.CONNECTOR_PRIOR["spacy"][1]) -> DataFrame:
-    """(doc_id, text, entities, confidence, extraction_method): personal data redacted, then the pattern extractor."""
-    clean = docs.select("doc_id", T.redact(F.col("text")).alias("text")).where(F.length(F.trim("text")) >= 20)
+def payloads(docs: DataFrame, confidence: Column | None = None) -> DataFrame:
+    """(doc_id, text, entities, confidence, extraction_method): personal data redacted, then the pattern extractor. confidence: that of the extractor
+    by columns of docs, by default its prior. Texts of under 20 characters give nothing."""
+    confidence = F.lit(C.CONNECTOR_PRIOR["spacy"][1]) if confidence is None else confidence
+    clean = docs.select("doc_id", T.redact(F.col("text")).alias("text"), confidence.alias("confidence")).where(F.length(F.trim("text")) >= 20)
     found = T.distinct_entities(T.entities(F.col("text")))
     kept = lambda e: F.map_filter(F.create_map(F.lit("value"), e["value"], F.lit("unit"), e["unit"]), lambda _, v: v.isNotNull())
     entities = F.transform(found, lambda e: F.struct(e["type"].alias("type"), e["text"].alias("text"), kept(e).alias("structured")))
-    return clean.select("doc_id", "text", entities.alias("entities"), F.lit(confidence).alias("confidence"), F.lit("spacy").alias("extraction_method"))
+    return clean.select("doc_id", "text", entities.alias("entities"), "confidence", F.lit("spacy").alias("extraction_method"))
 
 
-def ingest(spark: SparkSession, docs: DataFrame, active_drugs: DataFrame) -> DataFrame:
+def ingest(spark: SparkSession, docs: DataFrame, active_drugs: DataFrame, existing: DataFrame | None = None, confidence: Column | None = None) -> DataFrame:
     """Records of every document with their route: review (failed validation), blocked_ddi (the whole document), queued (needs acknowledgment),
-    rejected (quality gate) or written. active_drugs: (drug, n) of the store.
+    rejected (quality gate), duplicate (its content is stored already) or written. active_drugs: (drug, n) of the store; existing: (fact_type, content) of it.
 
     One pass over the documents, one aggregate per document for the block; the rule table is of fixed size.
     """
-    p = payloads(docs)
+    p = payloads(docs, confidence)
     checked = p.withColumn("issues", extract.issues(F.col("confidence"), F.lit(1.0), F.lit(False), F.size("entities")))
     checked = checked.withColumn("validation", extract.status(F.col("issues"))).withColumn("codes", F.transform("issues", lambda i: i["code"]))
     rows = promote.tiered(records.from_entities(checked)).join(checked.select("doc_id", "validation"), "doc_id")
@@ -35,7 +37,15 @@ def ingest(spark: SparkSession, docs: DataFrame, active_drugs: DataFrame) -> Dat
     decided = rows.join(safety.gate(drugs, found).select("id", "decision"), "id", "left").withColumn("decision", F.coalesce("decision", F.lit("allow")))
     whole = safety.blocked_documents(decided)
     good = (F.col("confidence") >= C.DEFAULT.min_confidence) & (F.length(F.trim("content")) >= 5)
-    route = F.when(F.col("validation") != "accepted", "review").when(F.col("document_blocked"), "blocked_ddi").when(F.col("decision") == "review", "queued").when(~good, "rejected").otherwise("written")
+    stored = F.lit(False)
+    if existing is not None:
+        known = existing.select("fact_type", T.norm(F.col("content")).alias("key"), F.lit(True).alias("stored")).distinct()
+        whole = whole.withColumn("key", T.norm(F.col("content"))).join(known, ["fact_type", "key"], "left")
+        stored = F.coalesce("stored", F.lit(False))
+    route = (
+        F.when(F.col("validation") != "accepted", "review").when(F.col("document_blocked"), "blocked_ddi").when(F.col("decision") == "review", "queued")
+        .when(~good, "rejected").when(stored, "duplicate").otherwise("written")
+    )
     return whole.select("doc_id", "ord", "fact_type", "name", "content", "tier", "status", "trust_level", "decision", route.alias("route"))
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from factmill import config as C
-from factmill.plans import views
+from factmill.plans import note_oracles, views
 
 FACTS = views.FACTS.format(events="events")
 RECORDS = views.RECORDS.format(lineitem="lineitem", orders="orders")
@@ -165,8 +165,6 @@ ORACLES: dict[str, str] = {
     "doc_tier_histogram": f"SELECT document_type, tier, count(*) AS n FROM ({CLASSIFIED}) GROUP BY 1, 2",
     "doc_type_detect": f"SELECT doc_id, CASE WHEN w >= 2 OR c >= 2 OR (w >= 1 AND n >= 20) THEN 'food_guide' ELSE 'clinical_report' END AS kind FROM (SELECT doc_id, {_rule(C.FOOD_WORDS)} AS w, {_rule(C.FOOD_CONDITIONS)} AS c, len(regexp_extract_all(text, '\\b[0-9]\\b')) AS n FROM documents)",
     "web_domain_trust": "SELECT page_id, url, CAST(CASE " + " ".join(f"WHEN contains(h, {q(dom)}) THEN {level}" for dom, level in C.DOMAINS) + " ELSE 5 END AS INT) AS trust_level FROM (SELECT *, ltrim(regexp_extract(url, '^[a-z]+://([^/:?#]*)', 1), 'w.') AS h FROM pages)",
-    "ner_rules_medications": r"""SELECT doc_id, name, arg_min(dose, pos) AS dose FROM (SELECT doc_id, lower(regexp_extract(m, '(?i)([A-Za-z]{4,})\s+(\d+(?:\.\d+)?)\s*(mg|mcg|ml|g|units?)', 1)) AS name, regexp_extract(m, '(?i)([A-Za-z]{4,})\s+(\d+(?:\.\d+)?)\s*(mg|mcg|ml|g|units?)', 2) || regexp_extract(m, '(?i)([A-Za-z]{4,})\s+(\d+(?:\.\d+)?)\s*(mg|mcg|ml|g|units?)', 3) AS dose, pos
- FROM (SELECT doc_id, unnest(ms) AS m, generate_subscripts(ms, 1) AS pos FROM (SELECT doc_id, regexp_extract_all(text, '(?i)([A-Za-z]{4,})\s+(\d+(?:\.\d+)?)\s*(mg|mcg|ml|g|units?)') AS ms FROM documents))) GROUP BY 1, 2""",
     "unit_normalize": f"WITH f AS ({FACTS}), u AS (SELECT * FROM {values(C.UNITS, 'e, fu, cu, k, a')}), g AS (SELECT e, min(cu) AS target FROM u GROUP BY e) SELECT id, round(coalesce(value * CAST(k AS DOUBLE) + CAST(a AS DOUBLE), value), 4) AS normalized_value, coalesce(cu, target, unit, '') AS normalized_unit FROM f LEFT JOIN u ON u.e = lower(trim(entity_name)) AND fu = lower(trim(coalesce(unit, ''))) LEFT JOIN g ON g.e = lower(trim(entity_name)) WHERE value IS NOT NULL",
     "dedup_exact": facts_query(EXACT),
     "dedup_alias": facts_query(ALIASED),
@@ -236,3 +234,4 @@ ORACLES: dict[str, str] = {
     "stream_connector_profile": "SELECT CASE event_id % 3 WHEN 0 THEN 'spacy' WHEN 1 THEN 'phi3' ELSE 'gemini' END AS connector, count(*) AS attempts, count(*) FILTER (event_id % 7 <> 0) AS successes FROM events GROUP BY 1",
     "stream_windowed_counts": "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2",
 }
+ORACLES |= note_oracles.ORACLES

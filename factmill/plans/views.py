@@ -48,6 +48,22 @@ WHERE doc_id % 5 <> 0 OR x = 0
 GROUP BY doc_id, x, extractor, entity_type, entity_text"""
 
 
+def _pick(key: str, *values: str) -> str:
+    """One of the values by a whole-number key."""
+    whens = " ".join(f"WHEN {i} THEN '{v.replace(chr(39), chr(39) * 2)}'" for i, v in enumerate(values))
+    return f"CASE {key} % {len(values)} {whens} END"
+
+
+#: Clinical sentences made of the events: a lead, an entity, a tail and an order, in every combination as the ids go on.
+NOTES = f"""
+SELECT event_id AS doc_id, user_id AS subject_id, CAST(ts AS DATE) AS noted, entity, concat(lead, entity, tail, ordered) AS text
+FROM (SELECT event_id, user_id, ts, {_pick("event_id", "chest pain", "asthma", "migraine", "pneumonia", "diabetes")} AS entity,
+  {_pick("event_id", "", "Patient denies ", "No history of ", "Father had ", "Suspect ", "Negative for fever, has ", "Maternal grandmother with ", "Diagnosed with ", "Consider asthma vs ")} AS lead,
+  {_pick("event_id", ".", " ruled out.", " resolved.", ". No fever.", ", not present today.", " since 2024-03-15.", " for 2 weeks ago.", "; mother's sister is well.")} AS tail,
+  {_pick("event_id", " Takes Lamotrigine 5 mg daily.", " Aspirin 100 mg once.", " Ibuprofen 200 mg as needed.", " HbA1c: 7.2 %.", " Diagnosis: hypertension.", " Seen yesterday.", " On 03/15/2024 lamotrigine 25 mg.", "", " Warfarin 5 mg, ibuprofen 400 mg.", " Weight 82.5 kg.", " History of stroke.", " Rest.", " AB 2.5 ml.")} AS ordered
+  FROM {{events}}) t"""
+
+
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(FACTS, events=table(spark, sf_dir, "events"))
 
@@ -58,3 +74,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def extractions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(EXTRACTIONS, events=table(spark, sf_dir, "events"))
+
+
+def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(NOTES, events=table(spark, sf_dir, "events"))

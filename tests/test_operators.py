@@ -139,16 +139,26 @@ def test_route_scores(spark):
     assert {r["doc_id"]: r["connector"] for r in extract.route_choice(extract.route_scores(docs, profiles)).collect()}[1] == "spacy"
 
 
-def test_annotations():
-    assert A.negation("chest pain", "Patient denies chest pain") == "denied"
-    assert A.negation("Pneumonia", "Pneumonia ruled out") == "ruled_out"
-    assert A.negation("diabetes", "No history of diabetes") == "absent"
-    assert A.negation("chest pain", "no fever, has chest pain") == "absent"  # the window has a cue; only the sentence scan is guarded
-    assert A.subject("heart attack", "Father had heart attack at age 55")[0] == "father"
-    assert A.subject("asthma", "Patient has asthma") == ("patient", 0.90)
-    assert A.certainty("asthma", "Diagnosed with asthma") == ("confirmed", 0.90)
-    assert A.certainty("asthma", "Suspect asthma")[0] == "suspected"
-    assert A.certainty("a", "Consider a vs b")[0] == "differential"
+def test_annotations(spark):
+    cases = {
+        ("chest pain", "Patient denies chest pain"): ("denied", "patient", "confirmed"),
+        ("Pneumonia", "Pneumonia ruled out"): ("ruled_out", "patient", "ruled_out"),
+        ("diabetes", "No history of diabetes"): ("absent", "patient", "historical"),
+        ("chest pain", "no fever, has chest pain"): ("absent", "patient", "confirmed"),  # the window has a cue; only the sentence scan is guarded
+        ("heart attack", "Father had heart attack at age 55"): (None, "father", "confirmed"),
+        ("asthma", "Patient has asthma"): (None, "patient", "confirmed"),
+        ("asthma", "Suspect asthma"): (None, "patient", "suspected"),
+        ("a", "Consider a vs b"): (None, "patient", "differential"),
+        ("c++", "They use c++ now. denies c++"): ("denied", "patient", "confirmed"),
+        ("stroke", "Family history of stroke"): (None, "family_member", "historical"),
+        ("asthma", "It is no. " + "x" * 90 + " asthma"): (None, "patient", "confirmed"),  # out of the window
+        ("", ""): (None, "patient", "confirmed"),
+        ("x", None): (None, "patient", "confirmed"),
+        ("absent word", "nothing here"): (None, "patient", "confirmed"),
+    }
+    got = A.annotate(spark.createDataFrame(list(cases), "entity string, text string")).select("entity", "text", "annotation.*").collect()
+    assert {(r["entity"], r["text"]): (r["negation_type"], r["subject"], r["certainty"]) for r in got} == cases
+    assert {r["certainty_confidence"] for r in got if r["text"] in ("", None)} == {0.5} and all(r["is_negated"] == (r["negation_type"] is not None) for r in got)
 
 
 def test_event_dates(spark):
@@ -259,7 +269,13 @@ def test_ingest_blocks_whole_documents(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     drugs = spark.createDataFrame([("valproate", 1), ("warfarin", 1)], "drug string, n int")
     got = {(r["doc_id"], r["name"]): r["route"] for r in flows.ingest(spark, df, drugs).collect()}
-    assert got == {(0, "Lamotrigine"): "blocked_ddi", (0, "Aspirin"): "blocked_ddi", (1, "Aspirin"): "written", (2, "Ibuprofen"): "queued"}
+    # the test pattern takes a capital word, what follows and a number: "He takes Lamotrigine 5" is a test result of the same document
+    assert got == {
+        (0, "Lamotrigine"): "blocked_ddi", (0, "He takes Lamotrigine"): "blocked_ddi", (0, "Aspirin"): "blocked_ddi", (1, "Aspirin"): "written",
+        (1, "She takes Aspirin"): "written", (2, "Ibuprofen"): "queued", (2, "He takes Ibuprofen"): "written",
+    }
+    routes = {r["route"] for r in flows.ingest(spark, df, drugs, spark.createDataFrame([("medication", " medication:  ASPIRIN ")], "fact_type string, content string"), F.when(F.col("doc_id") == 2, 0.6).otherwise(0.8)).collect()}
+    assert routes == {"blocked_ddi", "duplicate", "written", "review"}
 
 
 def test_drain(spark, tmp_path):
