@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factmill.llm.kernels import squeeze, unsqueeze, utf8
+from factmill.llm.kernels import U, squeeze, unsqueeze, utf8
 from factmill.llm.pretoken import CHUNK_BYTES, Pieces, cut, open_pieces
 from factmill.llm.pretoken import pieces as split_long
 from factmill.llm.store import materialize
@@ -18,7 +18,9 @@ from factmill.llm.store import materialize
 #: Documents that are handed to the encoder at once.
 ROWS = 256
 #: Documents, pre-tokens and distinct pre-tokens of a block. A block that is full is closed; nothing is left out.
-BLOCK_DOCS, BLOCK_TOKENS, BLOCK_PIECES = 20_000, 2_500_000, 100_000
+BLOCK_DOCS, BLOCK_TOKENS, BLOCK_PIECES = 20_000, 2_500_000, 200_000
+#: UTF-8 bytes of text for each part of the distinct pre-tokens.
+PART_BYTES = 16_000_000
 
 
 class Frequencies:
@@ -31,6 +33,7 @@ class Frequencies:
     def clear(self) -> None:
         self.at: dict[int, int] = {}
         self.strings: list[str] = []
+        self.hashes: list[int] = []
         self.entry, self.times, self.doc = [], [], []
         self.whole: list[int] = []
         self.tokens = 0
@@ -59,6 +62,7 @@ class Frequencies:
                 if (found := self.at.get(h)) is None:
                     found = self.at[h] = len(self.strings)
                     self.strings.append(joined[starts[head[k]] : stops[head[k]]])
+                    self.hashes.append(h)
                 place[k] = found
             pair, n = np.unique(np.asarray(owner[lo:hi], np.int64)[docs] << 32 | place[inverse], return_counts=True)
             self.doc.append(pair >> 32)
@@ -67,15 +71,35 @@ class Frequencies:
             self.tokens += len(hashes)
             lo = hi
 
-    def blob(self) -> bytes:
+    def packed(self, parts: int) -> tuple[bytes, list[int], list[bytes]]:
+        """(frequencies, parts, the distinct pre-tokens of each part); frequencies point into the pre-tokens in order of part."""
         none = [np.zeros(0, np.int64)]
-        return squeeze(np.concatenate(self.doc or none).astype(np.uint32), np.concatenate(self.entry or none).astype(np.uint32), np.concatenate(self.times or none).astype(np.uint32))
+        part = ((np.array(self.hashes, U) >> U(32)) * U(parts) >> U(32)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        place = np.empty(len(order), np.uint32)
+        place[order] = np.arange(len(order), dtype=np.uint32)
+        which, first = np.unique(part[order], return_index=True)
+        held = [pack_strings([self.strings[i] for i in order[s:e].tolist()]) for s, e in zip(first.tolist(), [*first[1:].tolist(), len(order)], strict=False)]
+        entry = place[np.concatenate(self.entry or none).astype(np.int64)]
+        return squeeze(np.concatenate(self.doc or none).astype(np.uint32), entry, np.concatenate(self.times or none).astype(np.uint32)), which.tolist(), held
 
 
-def _frequencies(docs: DataFrame, tokenizer_file: str, id_col: str, text_col: str) -> DataFrame:
-    """(block, ids, n_bytes, whole, pieces, frequencies): one row for each block of documents."""
+def pack_strings(strings: list[str]) -> bytes:
+    coded = [x.encode() for x in strings]
+    return squeeze(np.fromiter(map(len, coded), np.uint32, len(coded)), np.frombuffer(b"".join(coded), np.uint8))
+
+
+def unpack_strings(blob: bytes) -> list[str]:
+    sizes, raw = unsqueeze(blob, np.uint32, np.uint8)
+    ends, data = np.cumsum(sizes).tolist(), raw.tobytes()
+    return [data[s:e].decode() for s, e in zip([0, *ends[:-1]], ends, strict=False)]
+
+
+def _frequencies(docs: DataFrame, tokenizer_file: str, parts: int, id_col: str, text_col: str) -> DataFrame:
+    """(block, ids, n_bytes, whole, frequencies, pieces): one row for each block of documents; pieces are its distinct pre-tokens by part."""
     kind = docs.schema[id_col].dataType.simpleString()
-    names = ["block", "ids", "n_bytes", "whole", "pieces", "frequencies"]
+    names = ["block", "ids", "n_bytes", "whole", "frequencies", "pieces"]
+    piece = pa.struct([("part", pa.int32()), ("strings", pa.binary())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -85,8 +109,10 @@ def _frequencies(docs: DataFrame, tokenizer_file: str, id_col: str, text_col: st
 
         def flush() -> pa.RecordBatch:
             one = lambda values, of: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, of) if isinstance(values, list) else values)
+            frequencies, which, strings = held.packed(parts)
+            dealt = pa.array([{"part": p, "strings": x} for p, x in zip(which, strings, strict=True)], piece)
             row = pa.RecordBatch.from_arrays(
-                [pa.array([block], pa.int64()), one(pa.concat_arrays(ids), None), one(pa.array(np.concatenate(sizes), pa.int64()), None), one(held.whole, pa.int64()), one(held.strings, pa.string()), pa.array([held.blob()], pa.binary())], names
+                [pa.array([block], pa.int64()), one(pa.concat_arrays(ids), None), one(pa.array(np.concatenate(sizes), pa.int64()), None), one(held.whole, pa.int64()), pa.array([frequencies], pa.binary()), one(dealt, None)], names
             )
             held.clear()
             ids.clear()
@@ -106,35 +132,47 @@ def _frequencies(docs: DataFrame, tokenizer_file: str, id_col: str, text_col: st
         if ids:
             yield flush()
 
-    return docs.select(id_col, text_col).mapInArrow(count, f"block long, ids array<{kind}>, n_bytes array<long>, whole array<long>, pieces array<string>, frequencies binary")
+    return docs.select(id_col, text_col).mapInArrow(count, f"block long, ids array<{kind}>, n_bytes array<long>, whole array<long>, frequencies binary, pieces array<struct<part: int, strings: binary>>")
 
 
-def _piece_counts(pieces: DataFrame, tokenizer_file: str) -> DataFrame:
-    """(piece, n): the number of tokens of each distinct pre-token."""
+def _piece_counts(pieces: DataFrame, tokenizer_file: str, parts: int) -> DataFrame:
+    """(block, part, counts) of (part, block, strings): every distinct pre-token lives in one part, where its tokens are counted once."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = open_pieces(tokenizer_file)
+        at, known = None, {}
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own.lengths(batch.column(0).to_pylist()), pa.int64())], ["piece", "n"])
+            for i in range(len(batch)):
+                part, block, blob = (batch.column(k)[i].as_py() for k in range(3))
+                if part != at:
+                    at, known = part, {}
+                strings = unpack_strings(blob)
+                new = [x for x in strings if x not in known]
+                known.update(zip(new, own.lengths(new), strict=True))
+                n = np.fromiter((known[x] for x in strings), np.uint32, len(strings))
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([part], pa.int32()), pa.array([squeeze(n)], pa.binary())], ["block", "part", "counts"])
 
-    return pieces.distinct().mapInArrow(count, "piece string, n long")
+    dealt = pieces.repartition(parts, "part").sortWithinPartitions("part", "block")
+    return dealt.select("part", "block", "strings").mapInArrow(count, "block long, part int, counts binary")
 
 
 def count_tokens(docs: DataFrame, tokenizer_file: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, n_bytes (UTF-8), n_tokens, over_limit.
 
     Texts are cut into pre-tokens, and blocks of documents keep their frequencies: which distinct pre-token of the block each document has
-    how often. Every distinct pre-token of the corpus is counted once; the counts are joined to the blocks' distinct pre-tokens, so
-    that a frequent one crosses the network once a block, and summed by the frequencies. Only lengths are kept, never a document's ids.
+    how often. Distinct pre-tokens are dealt by hash, so that each of the corpus is counted in one place and once; its count goes
+    back to the blocks that have it and is summed by their frequencies. A frequent one crosses the network once a block, and
+    only lengths are kept, never a document's ids.
     Null and empty texts: 0 bytes, 0 tokens. Repeated rows give repeated results; an empty table gives no rows. A text with a special token's
     string is counted by the library as a whole.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    blocks = materialize(_frequencies(docs, tokenizer_file, id_col, text_col), "frequencies")
-    each = blocks.select("block", F.posexplode("pieces").alias("place", "piece"))
-    counted = each.join(_piece_counts(each.select("piece"), tokenizer_file), "piece")
-    # at most BLOCK_PIECES entries and those of one more batch of ROWS documents a block
-    counts = counted.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("place", "n"))).alias("c")).select("block", F.transform("c", lambda x: x["n"]).alias("counts"))
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
+    blocks = materialize(_frequencies(docs, tokenizer_file, parts, id_col, text_col), "frequencies")
+    each = blocks.select("block", F.explode("pieces").alias("p")).select("p.part", "block", "p.strings")
+    # one entry for each part
+    counts = _piece_counts(each, tokenizer_file, parts).groupBy("block").agg(F.array_sort(F.collect_list(F.struct("part", "counts"))).alias("c")).select("block", F.transform("c", lambda x: x["counts"]).alias("counts"))
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -143,7 +181,8 @@ def count_tokens(docs: DataFrame, tokenizer_file: str, limit: int = 512, id_col:
                 doc, entry, times = unsqueeze(blob.as_py(), np.uint32, np.uint32, np.uint32)
                 n = whole.values.to_numpy().copy()
                 if len(doc):
-                    n += np.bincount(doc, counts.values.to_numpy()[entry] * times.astype(np.int64), len(n)).astype(np.int64)
+                    each = np.concatenate([unsqueeze(x.as_py(), np.uint32)[0] for x in counts.values])
+                    n += np.bincount(doc, each[entry] * times.astype(np.int64), len(n)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([ids.values, sizes.values, pa.array(n), pa.array(n > limit)], ["id", "n_bytes", "n_tokens", "over_limit"])
 
     rows = blocks.join(counts, "block", "left").select("ids", "n_bytes", "whole", "frequencies", "counts")
