@@ -118,39 +118,166 @@ def test_lm_base_score_and_gain(spark):
         assert sum(r["score"] for r in got.values() if r["held_out"] == part) > sum(r["base_score"] for r in got.values() if r["held_out"] == part)
 
 
-def test_lm_probabilities_sum_to_one():
-    """All words of a chunk that holds the whole corpus, in each context, and the unknown word."""
-    rng = np.random.default_rng(1)
-    w, u = rng.integers(0, 30, 4000).astype(np.uint64), rng.integers(0, 5, 4000).astype(np.uint16)
-    order = np.lexsort((u, w))
-    w, u = w[order], u[order]
-    pair = np.flatnonzero(np.append(True, (w[1:] != w[:-1]) | (u[1:] != u[:-1])))
-    word = np.flatnonzero(np.append(True, w[pair][1:] != w[pair][:-1]))
-    blob = lm._squeeze(w[pair][word], np.diff(np.append(word, len(pair))).astype(np.uint32), u[pair], np.diff(np.append(pair, 4000)).astype(np.uint32), np.array([2]), np.zeros(4000, np.uint32))
-    none = np.zeros(0, np.uint64)
-    c = lm.Chunk(0, 0, blob, none)
-    states = []
-    for number in range(3):
-        *_, (tables, customers, root_tables) = lm.replay(c, states)
-        sums = {int(k): (int(c.c[c.u == k].sum()), int(tables[c.u == k].sum())) for k in set(c.u.tolist())}
-        sums |= {-1: (4000, len(c.w)), -2: (int((c.c == 1).sum()), int((c.c == 2).sum())), -3: (int(customers.sum()), int(root_tables.sum()))}
-        states.append(lm.State(sums, 0, states[0] if states else None, number))
-    for number, (tables, *root) in enumerate(lm.replay(c, states[:-1])):
-        p = lm.predict(c, states[number], tables, tuple(root))
-        every = states[number].root(*root)
-        unknown = states[number].root(np.array([0]), np.array([0]))[0]
-        for k in range(5):
-            own = c.u == k
-            strength = lm.STRENGTH + states[number].discount * states[number].tables[k]
-            rest = np.delete(every, c.pair_word[own]).sum() + unknown
-            assert p[own].sum() + strength * rest / (lm.STRENGTH + states[number].customers[k]) == pytest.approx(1.0)
-
-
-def test_seating_bounds():
+def partitions(n):
+    """Sizes of the tables of every way to seat n customers."""
+    if n == 0:
+        yield []
+    else:
+        for rest in partitions(n - 1):
+            yield [*rest, 1]
+            for i in range(len(rest)):
+                yield [*rest[:i], rest[i] + 1, *rest[i + 1 :]]
+
+
+def test_seats_draw_from_the_posterior():
+    """Many like dishes after many sweeps, against all seatings by their weights."""
+    c, new, discount, dishes = 5, 0.7, 0.6, 4000
+    chance = np.zeros(c + 1)
+    for sizes in partitions(c):
+        chance[len(sizes)] += new ** len(sizes) * math.prod(math.prod(k - discount for k in range(1, n)) for n in sizes)
+    seats = lm.Seats(np.full(dishes, c), np.full(dishes, c), discount, np.random.default_rng(3))
+    for _ in range(12):
+        seats.sweep(lambda d: np.full(len(d), new))
+    got = np.bincount(seats.tables, minlength=c + 1) / dishes
+    assert np.abs(got - chance / chance.sum()).max() < 0.03
+    for i in range(0, dishes, 97):  # the books agree: sizes of the tables in use, who sits at them, and the free ones
+        at, a = seats.first[i], seats.away[i]
+        sits = np.bincount(seats.sits[at : at + a], minlength=c + 1)[1:]
+        assert (sits == seats.size[at : at + c]).all() and (sits > 0).sum() + (c - a > 0) == seats.tables[i]
+        assert set(seats.free[at : at + seats.spare[i]]) == {k + 1 for k in range(c) if sits[k] == 0}
+
+
+def test_seats_follow_and_bounds():
     rng = np.random.default_rng(2)
     c = np.array([0, 1, 2, 300, 50_000])
-    t = lm.seat(c, np.full(5, 0.5), 0.7, rng)
-    assert (t <= c).all() and t[0] == 0 and t[1] == 1 and (t[1:] >= 1).all()
+    most = np.array([9, 9, 9, 300, 2000])
+    seats = lm.Seats(c, most, 0.7, rng)
+    for want in (c, np.array([0, 3, 1, 200, 50_000]), np.array([2, 9, 0, 300, 50_001])):
+        seats.follow(want, lambda d: np.full(len(d), 0.5))
+        seats.sweep(lambda d: np.full(len(d), 0.5))
+        assert (seats.customers == want).all() and (seats.tables <= want).all() and ((want == 0) | (seats.tables > 0)).all() and (seats.away <= most).all()
+
+
+def words_as_numbers(seed, n, vocabulary):
+    rng = np.random.default_rng(seed)
+    w = (rng.zipf(1.4, n) % vocabulary).astype(np.uint64)
+    return np.append([0, 0], w[:-2]).astype(np.uint64), np.append([0], w[:-1]).astype(np.uint64), w
+
+
+def test_lm_probabilities_sum_to_one():
+    """All words of a part that holds the whole corpus, in each context, and the unknown word."""
+    vocabulary = 12
+    u, v, w = words_as_numbers(1, 3000, vocabulary)
+    seen, counts = np.unique(np.stack([v, u, w]), axis=1, return_counts=True)
+    context = np.unique(seen[:2], axis=1)
+    every = np.array([(a, b, x) for a, b in context.T for x in range(vocabulary + 1)], np.uint64).T  # the last word is never seen
+    known = {tuple(k): n for k, n in zip(seen.T.tolist(), counts.tolist(), strict=True)}
+    n = np.array([known.get(tuple(k), 0) for k in every.T.tolist()])
+    types = len({int(x) for x in w})
+    p = lm.probabilities(*every, n, every[0], types, 0)
+    unseen = [x for x in range(vocabulary) if x not in set(w.tolist())]
+    keep = ~np.isin(every[2], unseen)
+    for a, b in context.T:
+        assert p[keep & (every[0] == a) & (every[1] == b)].sum() == pytest.approx(1.0)
+
+
+def plain_model(texts, sweeps, seed):
+    """A plain sampler of the same model: dictionaries, one customer at a time, each restaurant's parent asked anew."""
+    rng = random.Random(seed)
+    seats = collections.defaultdict(lambda: collections.defaultdict(list))  # restaurant -> dish -> sizes of tables
+    chain = lambda u, v: (("uv", u, v), ("v", v), ("all",))
+    types = {w for t in texts for w in t}
+    order = {"uv": 0, "v": 1, "all": 2}
+    discounts = [0.5] * 3
+
+    def chance(houses, w):
+        p = 1 / (len(types) + 1)
+        for h in reversed(houses):
+            own = seats[h]
+            n, t = sum(map(sum, own.values())), sum(map(len, own.values()))
+            d = discounts[order[h[0]]]
+            p = (sum(own.get(w, [])) - d * len(own.get(w, [])) + (1 + d * t) * p) / (1 + n)
+        return p
+
+    def come(houses, w):
+        if not houses:
+            return
+        own = seats[houses[0]]
+        d = discounts[order[houses[0][0]]]
+        weights = [n - d for n in own[w]] + [(1 + d * sum(map(len, own.values()))) * chance(houses[1:], w)]
+        k = rng.choices(range(len(weights)), weights)[0]
+        if k == len(own[w]):
+            own[w].append(1)
+            come(houses[1:], w)
+        else:
+            own[w][k] += 1
+
+    def go(houses, w):
+        own = seats[houses[0]]
+        k = rng.choices(range(len(own[w])), own[w])[0]
+        own[w][k] -= 1
+        if own[w][k] == 0:
+            del own[w][k]
+            if houses[1:]:
+                go(houses[1:], w)
+
+    tokens_ = [(chain(u, v), w) for t in texts for u, v, w in zip([None, None, *t], [None, *t], t)]
+    counts = [collections.Counter((h[i], w) for h, w in tokens_) for i in range(1)]
+    for level in range(3):
+        c = collections.Counter(counts[-1].values())
+        discounts[level] = min(0.95, max(0.1, c[1] / max(1, c[1] + 2 * c[2])))
+        if level < 2:
+            up = {("uv",): ("v",), ("v",): ("all",)}
+            counts.append(collections.Counter(((("v", h[2]) if h[0] == "uv" else ("all",)), w) for h, w in counts[-1]))
+            del up
+    for houses, w in tokens_:
+        come(houses, w)
+    sums, kept = collections.Counter(), 0
+    for sweep in range(sweeps):
+        for houses, w in tokens_:
+            go(houses, w)
+            come(houses, w)
+        if sweep >= sweeps // 2:
+            kept += 1
+            for key in {(h, w) for h, w in tokens_}:
+                sums[key] += chance(*key)
+    return lambda t: sum(math.log10(sums[chain(u, v), w] / kept) for u, v, w in zip([None, None, *t], [None, *t], t))
+
+
+def test_lm_score_against_a_plain_sampler(spark):
+    rng = random.Random(21)
+    vocabulary = [f"w{i}" for i in range(40)]
+    texts = [" ".join(vocabulary[min(39, int(rng.expovariate(0.15)))] for _ in range(rng.randint(3, 30))) for _ in range(60)]
+    texts += texts[:6]
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 7 != 2][: len(texts)]
+    plain = plain_model([[*words_of(t), None] for t in texts], 14, 5)
+    got = {r["doc_id"]: r["score"] for r in lm.score_documents(docs(spark, texts, ids)).collect()}
+    each = [(got[i] - plain([*words_of(t), None])) / (len(words_of(t)) + 1) for i, t in zip(ids, texts, strict=True)]
+    assert abs(sum(each)) / len(each) < 0.02 and max(map(abs, each)) < 0.12
+
+
+def test_lm_repeated_documents_stand_apart(spark):
+    """A document that the corpus holds twice is likelier a word than those it holds once."""
+    rng = random.Random(22)
+    vocabulary = [f"w{i}" for i in range(300)]
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(60)) for _ in range(200)]
+    ids = [i for i in range(800) if zlib.crc32(str(i).encode()) % 7 != 2][: len(texts) + 20]
+    rows = lm.score_documents(docs(spark, texts + texts[:20], ids)).collect()
+    score = {r["doc_id"]: r["score"] / r["n_tokens"] for r in rows}
+    twice, once = [score[i] for i in ids[:20]], [score[i] for i in ids[20:200]]
+    assert min(twice) > max(once)
+
+
+def test_lm_split_restaurants(spark):
+    """Words above the limit are split by the word before them, and types with long vocabularies are told apart."""
+    splits = lm.Splits([5, 9], [lm.SPLIT_TOKENS * 3, lm.SPLIT_TOKENS])
+    v, u = np.repeat(np.array([5, 6, 9], np.uint64), 100), np.tile(lm.short(np.arange(100, dtype=np.uint64)), 3)
+    houses = splits.restaurants(v, u)
+    assert [len(set(houses[k : k + 100].tolist())) for k in (0, 100, 200)] == [4, 1, 2]
+    a, b = np.random.default_rng(1).integers(0, 9, (2, 500))
+    for below in (9, 1 << 40):
+        first, number = lm._distinct(a, b, below=below)
+        assert (a[first][number] == a).all() and (b[first][number] == b).all() and len(first) == len(set(zip(a.tolist(), b.tolist(), strict=True)))
 
 
 # 4
