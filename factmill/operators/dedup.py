@@ -1,17 +1,20 @@
 """Duplicate and conflict search between new facts and existing ones of the same subject.
 
 Facts: (id, ord, subject_id, entity_type, entity_name, value, unit, date). With `earlier`, a fact is only compared with those
-that come before it. Every rule is an equi-join with a residual; first and last matches are minimum aggregates over `ord`.
+that come before it. The first match of a group is the first fact of the group, so most rules join facts to groups of one row, and
+never pair all facts of a subject; only value conflicts of one entity, which are counted, are pairs.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from factmill import config as C
 from factmill.functions.annotate import may_be_alike, name_ratio
 from factmill.functions.text import canonical, entity_key, norm
+from factmill.operators.vector import range_search
 
 TREATMENTS = ("medication", "treatment", "procedure", "surgery")
 DIAGNOSES = ("diagnosis", "condition")
@@ -41,26 +44,73 @@ def _gap() -> Column:
     return F.abs(F.datediff("n_date", "e_date"))
 
 
-def exact_matches(new: DataFrame, existing: DataFrame, earlier: bool = True, days: int = C.DEFAULT.exact_days) -> DataFrame:
-    """(id, match_id): the first existing fact of the same type, name and value within `days`, or both undated."""
-    n, e = _sides(new, existing)
-    near = (F.col("n_date").isNull() & F.col("e_date").isNull()) | (_gap() <= days)
-    pairs = n.join(e, _on("type", "name", earlier=earlier) & F.col("n_rounded").eqNullSafe(F.col("e_rounded")) & near)
-    return pairs.groupBy(F.col("n_id").alias("id")).agg(F.min_by("e_id", "e_ord").alias("match_id"))
+def _firsts(existing: DataFrame, *keys: str) -> DataFrame:
+    """(e_<key>..., e_ord, e_id) of the first existing fact of each group: the earliest match of all, so that a group meets a new fact as one row."""
+    e = prepared(existing) if "type" not in existing.columns else existing
+    return e.groupBy("subject_id", *keys).agg(F.min(F.struct("ord", "id")).alias("f")).select(*[F.col(k).alias(f"e_{k}") for k in ("subject_id", *keys)], F.col("f.ord").alias("e_ord"), F.col("f.id").alias("e_id"))
 
 
-def alias_matches(new: DataFrame, existing: DataFrame, earlier: bool = True) -> DataFrame:
-    """(id, match_id): the first existing fact of the same type and canonical term, whatever its date."""
-    n, e = _sides(new, existing)
-    pairs = n.where("n_canon <> ''").join(e, _on("type", "canon", earlier=earlier))
-    return pairs.groupBy(F.col("n_id").alias("id")).agg(F.min_by("e_id", "e_ord").alias("match_id"))
+def _earlier(pairs: DataFrame, earlier: bool) -> DataFrame:
+    return pairs.where("e_ord < ord") if earlier else pairs
+
+
+def exact_matches(new: DataFrame, existing: DataFrame, earlier: bool = True, days: int = C.DEFAULT.exact_days) -> DataFrame:
+    """(id, match_id): the first existing fact of the same type, name and value within `days`, or both undated.
+
+    A new fact asks for the first fact of each day around it, so equal facts of a subject are never paired with each other.
+    """
+    around = F.when(F.col("date").isNull(), F.array(F.lit(None).cast("date"))).otherwise(F.sequence(F.date_sub("date", days), F.date_add("date", days)))
+    n = prepared(new).withColumn("day", F.explode(around))
+    first = _firsts(prepared(existing), "type", "name", "rounded", "date")
+    on = (F.col("subject_id") == F.col("e_subject_id")) & (F.col("type") == F.col("e_type")) & (F.col("name") == F.col("e_name")) & F.col("rounded").eqNullSafe(F.col("e_rounded")) & F.col("day").eqNullSafe(F.col("e_date"))
+    return _earlier(n.join(first, on), earlier).groupBy("id").agg(F.min_by("e_id", "e_ord").alias("match_id"))
+
+
+def alias_matches(new: DataFrame, existing: DataFrame, earlier: bool = True, vectors: DataFrame | None = None, least_name: float = C.DEFAULT.name_ratio, least_cosine: float = C.DEFAULT.dedup_cosine) -> DataFrame:
+    """(id, match_id): the first existing fact of the same type whose name has the same canonical term, or is alike, or whose vector is near, whatever its date.
+
+    Names are compared once for each pair of distinct names, and so are vectors (name, vector): what can match is a small table of
+    names, and facts meet the first fact of each name.
+    """
+    n, e = prepared(new), prepared(existing)
+    names = n.select("name").unionByName(e.select("name")).where("name <> ''").distinct()
+    alike = alike_names(names, "name", least_name).select("a", "b")
+    if vectors is not None:
+        alike = alike.unionByName(near_names(vectors, least_cosine))
+    same = names.select(F.col("name").alias("a"), F.col("name").alias("b"))
+    means = same.unionByName(alike).unionByName(alike.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    by_name = n.join(means, F.col("name") == F.col("a")).select("id", "ord", "subject_id", "type", F.concat(F.lit("n:"), "b").alias("means"))
+    by_canon = n.where("canon <> ''").select("id", "ord", "subject_id", "type", F.concat(F.lit("c:"), "canon").alias("means"))
+    held = e.select("id", "ord", "subject_id", "type", F.explode(F.array_compact(F.array(F.when(F.col("name") != "", F.concat(F.lit("n:"), "name")), F.when(F.col("canon") != "", F.concat(F.lit("c:"), "canon"))))).alias("means"))
+    first = _firsts(held, "type", "means")
+    on = (F.col("subject_id") == F.col("e_subject_id")) & (F.col("type") == F.col("e_type")) & (F.col("means") == F.col("e_means"))
+    return _earlier(by_name.unionByName(by_canon).join(first, on), earlier).groupBy("id").agg(F.min_by("e_id", "e_ord").alias("match_id"))
+
+
+def near_names(vectors: DataFrame, least: float) -> DataFrame:
+    """(a, b) of distinct names whose vectors (name, vector) are at cosine >= least. Every name asks all rows, in blocks that the search broadcasts."""
+    v = vectors.select(norm(F.col("name")).alias("name"), "vector").groupBy("name").agg(F.min("vector").alias("vector")).withColumn("vec_id", F.xxhash64("name"))
+    found = range_search(v, v, least, vector_col="vector")
+    name = lambda c, to: v.select(F.col("vec_id").alias(c), F.col("name").alias(to))
+    return found.where("query_id < vec_id").join(name("query_id", "a"), "query_id").join(name("vec_id", "b"), "vec_id").select("a", "b")
 
 
 def timeseries_matches(new: DataFrame, existing: DataFrame, earlier: bool = True, days: int = C.DEFAULT.exact_days) -> DataFrame:
-    """(id, match_id, gap): the existing fact of the same entity that lies farthest in time, over `days` away; the first on a tie."""
-    n, e = _sides(new, existing)
-    pairs = n.join(e, _on("type", "key", earlier=earlier) & (_gap() > days)).withColumn("gap", _gap())
-    return pairs.groupBy(F.col("n_id").alias("id")).agg(F.max_by("e_id", F.struct("gap", -F.col("e_ord"))).alias("match_id"), F.max("gap").alias("gap"))
+    """(id, match_id, gap): the existing fact of the same entity that lies farthest in time, over `days` away; the first on a tie.
+
+    The farthest fact is the first or the last in time of those before, so running extremes of the entity are enough: no pairs.
+    """
+    cols = ["id", "ord", "subject_id", "type", "key", "date"]
+    both = prepared(existing).select(*cols, F.lit(0).alias("asks")).unionByName(prepared(new).select(*cols, F.lit(1).alias("asks"))).where("date IS NOT NULL")
+    w = W.partitionBy("subject_id", "type", "key").orderBy("ord", F.desc("asks"))
+    frame = w.rowsBetween(W.unboundedPreceding, W.currentRow) if earlier else w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    held = F.col("asks") == 0
+    first = F.min(F.when(held, F.struct("date", "ord", "id"))).over(frame)
+    last = F.min(F.when(held, F.struct((-F.unix_date("date")).alias("back"), "ord", "id", "date"))).over(frame)
+    seen = both.withColumns({"first": first, "last": last}).where("asks = 1 AND first IS NOT NULL")
+    spot = lambda x: F.struct((-F.abs(F.datediff("date", x["date"]))).alias("gap"), x["ord"].alias("ord"), x["id"].alias("id"))
+    best = F.least(spot(F.col("first")), spot(F.col("last")))
+    return seen.select("id", best.alias("b")).where(-F.col("b.gap") > days).select("id", F.col("b.id").alias("match_id"), (-F.col("b.gap")).alias("gap"))
 
 
 def alike_names(names: DataFrame, name: str = "name", least: float = C.DEFAULT.name_ratio) -> DataFrame:
@@ -78,10 +128,6 @@ def alike_names(names: DataFrame, name: str = "name", least: float = C.DEFAULT.n
     return pairs.withColumn("ratio", name_ratio("a", "b")).where(F.col("ratio") >= least)
 
 
-def _drug_pairs() -> Column:
-    return F.create_map(*[F.lit(x) for a, b, r in C.INTERACTIONS for x in ("|".join(sorted((a, b))), r)])
-
-
 def _excludes(a: Column, b: Column) -> Column:
     has = lambda c, words: F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(c, w))
     out = F.lit(False)
@@ -105,20 +151,39 @@ def _implausible() -> Column:
 
 
 def drug_conflicts(new: DataFrame, existing: DataFrame, earlier: bool = True) -> DataFrame:
-    """(id, match_id, reason) of medications that interact with an existing one."""
-    n, e = _sides(new, existing)
-    pairs = n.where("n_type = 'medication'").join(e.where("e_type = 'medication'"), _on(earlier=earlier) & (F.col("n_name") != F.col("e_name")))
-    found = pairs.withColumn("reason", F.try_element_at(_drug_pairs(), F.concat_ws("|", F.least("n_name", "e_name"), F.greatest("n_name", "e_name")))).where("reason IS NOT NULL")
-    first = F.min(F.struct("e_ord", "e_id", "reason"))
-    return found.groupBy(F.col("n_id").alias("id")).agg(first.alias("f")).select("id", F.col("f.e_id").alias("match_id"), "f.reason", F.col("f.e_ord").alias("ord"))
+    """(id, match_id, reason) of medications that interact with an existing one. Drugs meet the fixed rule table first, and then the first fact of the other drug."""
+    spark = new.sparkSession
+    rules = spark.createDataFrame([(x, y, r) for a, b, r in C.INTERACTIONS for x, y in ((a, b), (b, a))], "name string, other string, reason string")
+    n = prepared(new).where("type = 'medication'").join(F.broadcast(rules), "name")
+    first = _firsts(prepared(existing).where("type = 'medication'"), "name")
+    pairs = _earlier(n.join(first, (F.col("subject_id") == F.col("e_subject_id")) & (F.col("other") == F.col("e_name"))), earlier)
+    return pairs.groupBy("id").agg(F.min(F.struct("e_ord", "e_id", "reason")).alias("f")).select("id", F.col("f.e_id").alias("match_id"), "f.reason", F.col("f.e_ord").alias("ord"))
+
+
+def _steps(rows: DataFrame, later: bool) -> DataFrame:
+    """(subject_id, above, upto, e_ord, e_id): which fact is the first in order to lie after (before) a day, for days from `above` to `upto`, as day numbers.
+
+    Only facts that lie farther than all before them can be the first; a later fact of a day already passed never is.
+    """
+    day = F.unix_date("date") * (1 if later else -1)
+    per_day = rows.where("date IS NOT NULL").groupBy("subject_id", day.alias("upto")).agg(F.min(F.struct("ord", "id")).alias("f"))
+    w = W.partitionBy("subject_id").orderBy("f.ord").rowsBetween(W.unboundedPreceding, -1)
+    passed = per_day.withColumn("above", F.max("upto").over(w))
+    return passed.where("above IS NULL OR upto > above").select(F.col("subject_id").alias("e_subject_id"), F.coalesce("above", F.lit(-(1 << 31)).cast("long")).alias("above"), "upto", F.col("f.ord").alias("e_ord"), F.col("f.id").alias("e_id"))
 
 
 def temporal_conflicts(new: DataFrame, existing: DataFrame, earlier: bool = True) -> DataFrame:
-    """(id, match_id): a treatment dated before a diagnosis of the subject, whatever the entities. Two joins, one for each direction."""
-    n, e = _sides(new, existing)
-    a = n.where(F.col("n_type").isin(*TREATMENTS)).join(e.where(F.col("e_type").isin(*DIAGNOSES)), _on(earlier=earlier) & (F.col("n_date") < F.col("e_date")))
-    b = n.where(F.col("n_type").isin(*DIAGNOSES)).join(e.where(F.col("e_type").isin(*TREATMENTS)), _on(earlier=earlier) & (F.col("e_date") < F.col("n_date")))
-    return a.unionByName(b).groupBy(F.col("n_id").alias("id")).agg(F.min_by("e_id", "e_ord").alias("match_id"), F.min("e_ord").alias("ord"))
+    """(id, match_id): a treatment dated before a diagnosis of the subject, whatever the entities. Each fact meets one step of its subject in each direction."""
+    n, e = prepared(new).where("date IS NOT NULL"), prepared(existing)
+
+    def side(asks: tuple[str, ...], asked: tuple[str, ...], later: bool) -> DataFrame:
+        day = F.unix_date("date") * (1 if later else -1)
+        rows = n.where(F.col("type").isin(*asks)).withColumn("day", day)
+        steps = _steps(e.where(F.col("type").isin(*asked)), later)
+        return rows.join(steps, (F.col("subject_id") == F.col("e_subject_id")) & (F.col("day") >= F.col("above")) & (F.col("day") < F.col("upto")))
+
+    pairs = _earlier(side(TREATMENTS, DIAGNOSES, True).unionByName(side(DIAGNOSES, TREATMENTS, False)), earlier)
+    return pairs.groupBy("id").agg(F.min_by("e_id", "e_ord").alias("match_id"), F.min("e_ord").alias("ord"))
 
 
 def paired_conflicts(new: DataFrame, existing: DataFrame, earlier: bool = True) -> DataFrame:

@@ -51,6 +51,43 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int = 10, block: int = 2000, i
     return best.select("query_id", F.posexplode("best").alias("r", "x")).select("query_id", f"x.{id_col}", (-F.col("x.s")).alias("similarity"), (F.col("r") + 1).alias("rank"))
 
 
+def range_search(queries: DataFrame, rows: DataFrame, least: float, block: int = 2000, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """(query_id, vec_id, similarity) of all rows at cosine >= least of a stated query set. Query blocks are packed rows, paired with the
+    rows' partitions by a join on a block number, so that the number of scans doesn't grow with the queries."""
+    n = queries.count()
+    blocks = max(1, -(-n // block))
+    asks = queries.select(F.pmod(F.xxhash64(id_col), F.lit(blocks)).alias("b"), F.struct(F.col(id_col).cast("long").alias("i"), F.col(vector_col).cast("array<double>").alias("v")).alias("q"))
+    packed = asks.groupBy("b").agg(F.collect_list("q").alias("asked"))  # a block holds about `block` vectors
+    chunk = F.pmod(F.xxhash64(id_col, F.lit(1)), F.lit(max(1, -(-rows.count() // (8 * block)))))
+    held = rows.select(chunk.alias("c"), F.struct(F.col(id_col).cast("long").alias("i"), F.col(vector_col).cast("array<double>").alias("v")).alias("q")).groupBy("c").agg(F.collect_list("q").alias("held"))
+    dealt = held.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(packed, "b")
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(len(batch)):
+                one, other = (batch.column(c)[k].as_py() for c in (0, 1))
+                q, v = _unit([x["v"] for x in one]), _unit([x["v"] for x in other])
+                width = max(q.shape[1], v.shape[1])
+                q, v = (np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (q, v))
+                s = q @ v.T
+                i, j = np.nonzero(s >= least)
+                same = np.array([len(one[a]["v"]) == len(other[b]["v"]) for a, b in zip(i.tolist(), j.tolist(), strict=True)], bool)
+                i, j = i[same], j[same]
+                yield pa.RecordBatch.from_arrays([pa.array([one[a]["i"] for a in i.tolist()], pa.int64()), pa.array([other[b]["i"] for b in j.tolist()], pa.int64()), pa.array(s[i, j])], ["query_id", id_col, "similarity"])
+
+    return dealt.select("asked", "held").mapInArrow(near, f"query_id long, {id_col} long, similarity double")
+
+
+def _unit(rows: list) -> np.ndarray:
+    """Unit rows padded to one length; null, empty, zero and non-finite vectors are zero rows."""
+    m = np.zeros((len(rows), max((len(r) for r in rows if r), default=0)))
+    for i, r in enumerate(rows):
+        if r and None not in r and np.isfinite(r).all():
+            m[i, : len(r)] = r
+    norm = np.linalg.norm(m, axis=1, keepdims=True)
+    return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+
+
 def _matrix(rows: list) -> np.ndarray:
     """Unit rows; a null, empty or zero vector is a zero row."""
     width = max((len(r) for r in rows if r), default=0)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from difflib import SequenceMatcher
+
 from factmill import config as C
 from factmill.plans import note_oracles, views
 
@@ -31,7 +34,10 @@ GAP = "abs(date_diff('day', e.date, n.date))"
 
 EXACT = f"""SELECT n.id, arg_min(e.id, e.ord) AS match_id FROM facts n JOIN facts e ON {EARLIER} AND n.entity_type = e.entity_type AND n.nm = e.nm AND round(n.value, 4) IS NOT DISTINCT FROM round(e.value, 4)
  AND ((n.date IS NULL AND e.date IS NULL) OR {GAP} <= 7) GROUP BY n.id"""
-ALIASED = f"SELECT n.id, arg_min(e.id, e.ord) AS match_id FROM facts n JOIN facts e ON {EARLIER} AND n.entity_type = e.entity_type AND n.cn = e.cn AND n.cn <> '' GROUP BY n.id"
+NAMES = sorted({x.lower() for x in re.findall(r"(?:THEN|ELSE) '([^']*)'", FACTS)})
+ALIKE = [(a, b) for a in NAMES for b in NAMES if SequenceMatcher(None, *sorted((a, b))).ratio() >= 0.92]
+ALIASED = f"""SELECT n.id, arg_min(e.id, e.ord) AS match_id FROM facts n JOIN facts e ON {EARLIER} AND n.entity_type = e.entity_type AND ((n.cn = e.cn AND n.cn <> '') OR (n.nm, e.nm) IN (SELECT (a, b) FROM {values(ALIKE, 'a, b')}))
+ GROUP BY n.id"""
 SERIES = f"""SELECT id, match_id, gap FROM (SELECT n.id, e.id AS match_id, {GAP} AS gap, row_number() OVER (PARTITION BY n.id ORDER BY {GAP} DESC, e.ord) AS r
  FROM facts n JOIN facts e ON {EARLIER} AND n.entity_type = e.entity_type AND n.ky = e.ky AND {GAP} > 7) WHERE r = 1"""
 DRUGS = f"""SELECT id, match_id, reason, ord FROM (SELECT n.id, e.id AS match_id, reason, e.ord, row_number() OVER (PARTITION BY n.id ORDER BY e.ord) AS r FROM facts n JOIN facts e ON {EARLIER} AND n.entity_type = 'medication' AND e.entity_type = 'medication'
