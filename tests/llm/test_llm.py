@@ -319,10 +319,10 @@ def near_copies(seed, groups=6, copies=14):
     return out + out[5:12]
 
 
-@pytest.mark.parametrize("bounds", [(64, 400, 20_000), (3, 4, 20_000), (3, 4, 5)])
+@pytest.mark.parametrize("bounds", [(64, 240_000, 10_000), (3, 500, 10_000), (3, 500, 5), (64, 300, 6)])
 def test_jaccard_against_brute_force(spark, monkeypatch, bounds):
     """Also with bounds so small that every way of forming blocks is taken."""
-    for name, value in zip(("LIST", "CHUNK", "GROUP_MOST"), bounds, strict=True):
+    for name, value in zip(("LIST", "CHUNK_SIZE", "LIST_MOST"), bounds, strict=True):
         monkeypatch.setattr(jaccard, name, value)
     texts = near_copies(11)
     for k, percent in ((3, 90), (5, 80)):
