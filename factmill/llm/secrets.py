@@ -85,10 +85,11 @@ def ratios(random: list[list[int]], ordinary: list[list[int]], weight: float) ->
 
 
 def _gains(token: Column, model: list[float]) -> Column:
-    """Log ratio of each pair of neighbouring characters of a string of two or more."""
+    """Log ratio of each pair of neighbouring characters of a string of two or more. The string is cut into characters once, so cost follows its length."""
     table = F.split(F.lit(",".join(f"{x:.6f}" for x in model)), ",").cast("array<double>")
-    place = lambda i: F.position(F.substr(token, i, F.lit(1)), F.lit(ALPHABET)) - 1
-    return F.transform(F.sequence(F.lit(1), F.length(token) - 1), lambda i: F.coalesce(F.get(table, place(i) * len(ALPHABET) + place(i + 1)), F.lit(0.0)))
+    places = F.transform(F.split(token, ""), lambda c: F.position(c, F.lit(ALPHABET)) - 1)
+    first, second = F.slice(places, 1, F.size(places) - 1), F.slice(places, 2, F.size(places))
+    return F.zip_with(first, second, lambda i, j: F.coalesce(F.get(table, i * len(ALPHABET) + j), F.lit(0.0)))
 
 
 def llr(token: Column, model: list[float]) -> Column:
