@@ -32,7 +32,10 @@ def promote_by_hand(records: DataFrame, ids: DataFrame) -> DataFrame:
     chosen = ids.select("id").distinct().withColumn("__chosen", F.lit(True))
     out = records.join(chosen, "id", "left")
     pick = lambda c, v: F.when(F.col("__chosen"), F.lit(v)).otherwise(F.col(c))
-    return out.withColumns({"tier": pick("tier", "active"), "status": pick("status", "active")}).drop("__chosen")
+    changed = {"tier": pick("tier", "active"), "status": pick("status", "active")}
+    if "requires_review" in records.columns:
+        changed["requires_review"] = pick("requires_review", False)
+    return out.withColumns(changed).select(*records.columns)
 
 
 PREFIX = "consider medication:"
@@ -114,3 +117,61 @@ def word_overlap(texts: DataFrame, least: float = 0.7) -> DataFrame:
     both = pairs.join(side("a"), ["block", "a"]).join(side("b"), ["block", "b"])
     overlap = F.size(F.array_intersect("wa", "wb")) / F.greatest(F.size("wa"), F.size("wb"))
     return both.select("a", "b", overlap.alias("overlap")).where(F.col("overlap") > least)
+
+
+def value_signature(structured: Column, ignored: tuple[str, ...] = ("name", "text", "derived_from")) -> Column:
+    """Sorted (key, value) entries of a map without those that name the record."""
+    return F.array_sort(F.map_entries(F.map_filter(structured, lambda k, _: ~k.isin(*ignored))))
+
+
+def promotion_conflicts(records: DataFrame, existing: DataFrame) -> DataFrame:
+    """ids of records (id, subject_id, fact_type, name, structured) that an existing record of the same key contradicts: its signature differs.
+
+    Existing signatures are grouped by key first: a key with two of them contradicts everyone, so one row a key is enough.
+    """
+    keyed = lambda df: df.select("subject_id", "fact_type", F.lower(F.trim("name")).alias("key"), F.to_json(value_signature(F.col("structured"))).alias("signature"), *(["id"] if "id" in df.columns else []))
+    known = keyed(existing).groupBy("subject_id", "fact_type", "key").agg(F.min("signature").alias("least"), F.max("signature").alias("most"))
+    return keyed(records).join(known, ["subject_id", "fact_type", "key"]).where("signature <> least OR signature <> most").select("id")
+
+
+def same_entity(candidates: DataFrame, existing: DataFrame, least: float = 0.7) -> DataFrame:
+    """(id, match_id): the first existing record of the same block whose name is equal, or whose content shares over `least` of its words. Both: (id, name, content, block)."""
+    name = lambda df: df.where("trim(name) <> ''").select("block", F.lower("name").alias("key"), "id")
+    first = name(existing).groupBy("block", "key").agg(F.min("id").alias("match_id"))
+    equal = name(candidates).join(first, ["block", "key"]).where("id <> match_id").select("id", "match_id")
+    rows = candidates.select("id", "block", F.col("content").alias("text"), F.lit(True).alias("asks")).unionByName(existing.select("id", "block", F.col("content").alias("text"), F.lit(False).alias("asks")))
+    # a record may be on both sides; texts meet once each
+    texts = rows.groupBy("block", norm(F.col("text")).alias("text")).agg(F.min(F.when(~F.col("asks"), F.col("id"))).alias("held"), F.min("id").alias("id"))
+    pairs = word_overlap(texts, least)
+    both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    asked = rows.where("asks").select(F.col("id").alias("asker"), "block", norm(F.col("text")).alias("text")).join(texts.select("block", "text", F.col("id").alias("a"), F.col("held").alias("own")), ["block", "text"])
+    near = asked.join(both, "a").join(texts.select(F.col("id").alias("b"), "held").where("held IS NOT NULL"), "b").select(F.col("asker").alias("id"), F.col("held").alias("match_id"))
+    long = F.size(F.array_distinct(F.split("text", " "))) > 2
+    same = asked.where(F.col("own").isNotNull() & (F.col("own") != F.col("asker")) & long).select(F.col("asker").alias("id"), F.col("own").alias("match_id"))
+    return equal.unionByName(near).unionByName(same).groupBy("id").agg(F.min("match_id").alias("match_id"))
+
+
+def quality_gate(candidates: DataFrame, existing: DataFrame, as_of: Column, near: DataFrame | None = None) -> DataFrame:
+    """candidates (id, fact_type, specialty, name, content, ...) with `decision`, `match_id` and `outdated`: the first check that speaks.
+
+    Checks, in order: confidence, content, type; an active existing record of equal content (duplicate); a near duplicate by vectors
+    (near: id, match_id); an active record of the same entity and other content, where a pending review of the entity keeps the existing record
+    and else the conflict goes to resolution; approved. existing: (id, fact_type, specialty, name, content, status, requires_review).
+    """
+    block = F.concat_ws("/", "fact_type", "specialty")
+    rows = static_gate(candidates, as_of)
+    text = norm(F.col("content"))
+    active = existing.where("status = 'active'")
+    held = active.groupBy(block.alias("block"), text.alias("text")).agg(F.min("id").alias("duplicate"))
+    rows = rows.withColumn("block", block).withColumn("text", text).join(held, ["block", "text"], "left").withColumn("duplicate", F.when(F.col("duplicate") != F.col("id"), F.col("duplicate")))
+    shape = lambda df: df.select("id", "name", "content", block.alias("block"))
+    other = same_entity(shape(candidates), shape(active)).withColumnRenamed("match_id", "entity")
+    waiting = same_entity(shape(candidates), shape(existing.where("requires_review"))).select("id", F.lit(True).alias("waiting"))
+    near = candidates.select("id", F.lit(None).cast(candidates.schema["id"].dataType).alias("near")).limit(0) if near is None else near.select("id", F.col("match_id").alias("near"))
+    rows = rows.join(other, "id", "left").join(waiting, "id", "left").join(near, "id", "left")
+    decision = (
+        F.when(F.col("gate") != "approved", F.col("gate")).when(F.col("duplicate").isNotNull(), "duplicate").when(F.col("near").isNotNull(), "near_duplicate")
+        .when(F.col("entity").isNotNull() & F.coalesce("waiting", F.lit(False)), "pending_review_exists").when(F.col("entity").isNotNull(), "conflict").otherwise("approved")
+    )
+    match = F.when(F.col("gate") == "approved", F.coalesce("duplicate", "near", "entity"))
+    return rows.select("id", decision.alias("decision"), match.alias("match_id"), "outdated")

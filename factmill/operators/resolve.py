@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -87,43 +87,101 @@ def governance_rules() -> Column:
 LEAST_DELTA = 0.1
 
 
-def fold(records: DataFrame, key: tuple[str, ...] = ("fact_type", "name", "subject_id"), order: str = "id") -> DataFrame:
-    """(id, action, confidence, existing_id) of each record against the latest resolved record of its key, in order.
+def _folded(records: DataFrame, existing: DataFrame | None, columns: list[str], key: tuple[str, ...], order: str, start: Callable, step: Callable) -> DataFrame:
+    """(id, action, confidence, rule, existing_id) of each record against the state of its key, in order.
 
-    Equal values merge once (a merged record is marked, so a later equal value no longer is); a confidence at least LEAST_DELTA apart
-    decides; the rest is quarantined and leaves the state alone. A key's state is one record, so rows stream through in sorted order: one
-    shuffle on the key, and memory does not grow with a key's length.
+    The state begins with the last existing record of the key, or with the first record. It is one record, so rows stream through in sorted order:
+    one shuffle on the key, and memory does not grow with a key's length. start(id, values) makes a state, step(state, id, values)
+    gives (action, confidence, rule, next state).
     """
-    columns = ["k", order, "value", "confidence"]
-    schema = "id long, action string, confidence double, existing_id long"
+    schema = "id long, action string, confidence double, rule string, existing_id long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = None
-        state: tuple = ()
+        at, state = None, None
         for batch in batches:
-            keys, ids, values, scores = (batch.column(i).to_pylist() for i in range(4))
             out: list[tuple] = []
-            for k, i, v, c in zip(keys, ids, values, scores, strict=True):
+            for k, known, i, *values in zip(*(batch.column(c).to_pylist() for c in range(batch.num_columns)), strict=True):
                 if k != at:
-                    at, state = k, (i, (v, False), c)
-                    out.append((i, "replace_with_new", 1.0, None))
-                    continue
-                own, signature, best = state
-                delta = round(c - best, 3)
-                if signature == (v, False):
-                    out.append((i, "merge", 0.95, own))
-                    state = (own, (v, True), max(best, c))
-                elif abs(delta) >= LEAST_DELTA:
-                    out.append((i, "replace_with_new" if delta > 0 else "keep_existing", 0.8, own))
-                    if delta > 0:
-                        state = (own, (v, False), c)
+                    at, state = k, None
+                if known == 0:
+                    state = start(i, values)
+                elif state is None:
+                    state = start(i, values)
+                    out.append((i, "replace_with_new", 1.0, "no_match", None))
                 else:
-                    out.append((i, "quarantine", 0.0, own))
-            cols = list(zip(*out, strict=True)) if out else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.int64())], ["id", "action", "confidence", "existing_id"])
+                    own = state[0]
+                    action, confidence, rule, state = step(state, i, values)
+                    out.append((i, action, confidence, rule, own))
+            cols = list(zip(*out, strict=True)) if out else [[]] * 5
+            kinds = (pa.int64(), pa.string(), pa.float64(), pa.string(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["id", "action", "confidence", "rule", "existing_id"])
+
+    keyed = lambda df, known: df.select(F.to_json(F.struct(*key)).alias("k"), F.lit(known).alias("known"), F.col(order).cast("long").alias(order), *columns)
+    rows = keyed(records, 1) if existing is None else keyed(records, 1).unionByName(keyed(existing, 0))
+    return rows.repartition("k").sortWithinPartitions("k", "known", order, *columns).mapInArrow(run, schema)
+
+
+KEY = ("fact_type", "name", "subject_id")
+
+
+def fold(records: DataFrame, existing: DataFrame | None = None, key: tuple[str, ...] = KEY, order: str = "id") -> DataFrame:
+    """(id, action, confidence, existing_id) of each record against the latest resolved or existing record of its key, in order.
+
+    Equal values merge once (a merged record is marked, so a later equal value no longer is); a confidence at least LEAST_DELTA apart
+    decides; the rest is quarantined and leaves the state alone.
+    """
+
+    def start(i: int, values: list) -> tuple:
+        return i, (values[0], False), values[1]
+
+    def step(state: tuple, i: int, values: list) -> tuple:
+        own, signature, best = state
+        value, c = values
+        delta = round(c - best, 3)
+        if signature == (value, False):
+            return "merge", 0.95, "same_value", (own, (value, True), max(best, c))
+        if delta >= LEAST_DELTA:
+            return "replace_with_new", 0.8, "confidence", (own, (value, False), c)
+        return ("keep_existing", 0.8, "confidence", state) if delta <= -LEAST_DELTA else ("quarantine", 0.0, "undecided", state)
+
+    return _folded(records, existing, ["value", "confidence"], key, order, start, step).drop("rule")
+
+
+def governance_fold(records: DataFrame, existing: DataFrame | None = None, key: tuple[str, ...] = KEY, order: str = "id") -> DataFrame:
+    """(id, action, confidence, rule, existing_id) of each record by the governance chain against the state of its key, in order.
+
+    A replacement takes over the existing id; a merge keeps the existing record's trust, sources and date and takes the new value; keeping and
+    quarantine leave the state alone. A medication's value is its dose.
+    """
 
-    keyed = records.select(F.to_json(F.struct(*key)).alias("k"), F.col(order).cast("long").alias(order), "value", "confidence")
-    return keyed.select(*columns).repartition("k").sortWithinPartitions("k", order, "value", "confidence").mapInArrow(run, schema)
+    def start(i: int, values: list) -> tuple:
+        return i, *values
+
+    def step(state: tuple, i: int, values: list) -> tuple:
+        own, old_trust, old_sources, old_time, old_value, _ = state
+        trust, sources, time, value, kind = values
+        apart = abs((time - old_time) // 86_400_000_000) if None not in (time, old_time) else 0
+        merged, replaced = (own, old_trust, old_sources, old_time, value, kind), (own, *values)
+        level = trust == old_trust
+        if level and sources == old_sources and apart <= C.DEFAULT.recency_days and value == old_value:
+            return "merge", 0.95, "materially_identical_records_merge", merged
+        for best, rule, confidence in ((1, "trust_level_1_beats_lower_trust", 0.95), (2, "peer_review_beats_ai", 0.9)):
+            if old_trust == best < trust:
+                return "keep_existing", confidence, rule, state
+            if trust == best < old_trust:
+                return "replace_with_new", confidence, rule, replaced
+        if level and apart > C.DEFAULT.recency_days:
+            return ("replace_with_new", 0.8, "same_trust_newer_than_90_days", replaced) if time > old_time else ("keep_existing", 0.8, "same_trust_newer_than_90_days", state)
+        if sources >= 2 and old_sources <= 1 and trust <= old_trust:
+            return "replace_with_new", 0.78, "multi_source_replaces_weaker_single_source", replaced
+        if value is not None and old_value is not None and apart <= C.DEFAULT.recency_days:
+            return "merge", 0.72, "numeric_same_period_merge", merged
+        if kind == "medication" and value != old_value:
+            return "quarantine", 0.0, "medication_dose_conflict", state
+        return "quarantine", 0.0, "unresolved_conflict_quarantines_candidate", state
+
+    timed = lambda df: df.withColumn("micros", F.unix_micros(F.col("first_recorded").cast("timestamp"))).withColumn("kind", F.col("fact_type"))
+    return _folded(timed(records), None if existing is None else timed(existing), ["trust_level", "source_count", "micros", "value", "kind"], key, order, start, step)
 
 
 def merged_range(records: DataFrame) -> DataFrame:

@@ -17,6 +17,12 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) != F.size(b)) | (norm == 0) | norm.isNull(), 0.0).otherwise(dot(a, b) / norm)
 
 
+def record_text(content: Column, structured: Column) -> Column:
+    """What a record's vector is made of: its content and the details that are not blank, in the order of their keys."""
+    entries = F.array_sort(F.map_entries(F.map_filter(structured, lambda _, v: F.coalesce(v, F.lit("")) != "")))
+    return F.concat_ws(" | ", content, F.array_join(F.transform(entries, lambda e: F.concat_ws(": ", e["key"], e["value"])), " | "))
+
+
 def top_k(queries: DataFrame, rows: DataFrame, k: int = 10, block: int = 2000, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, vec_id, similarity, rank) of a stated query set against all rows.
 

@@ -6,7 +6,7 @@ import re
 from difflib import SequenceMatcher
 
 from factmill import config as C
-from factmill.plans import note_oracles, views
+from factmill.plans import more_oracles, note_oracles, views
 
 FACTS = views.FACTS.format(events="events")
 RECORDS = views.RECORDS.format(lineitem="lineitem", orders="orders")
@@ -241,3 +241,4 @@ ORACLES: dict[str, str] = {
     "stream_windowed_counts": "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2",
 }
 ORACLES |= note_oracles.ORACLES
+ORACLES |= more_oracles.oracles(KEYED, CONFLICTS, CONSENSUS, COSINE)

@@ -11,7 +11,7 @@ from factmill import config as C
 from factmill.functions import annotate as A
 from factmill.functions import text as T
 from factmill.operators import dedup, extract, promote, records, resolve, safety, score, store, vector
-from factmill.plans import flows, views
+from factmill.plans import flows, more_queries, views
 from factmill.sources import sinks
 from factmill.sources.tables import table, web_pages
 from factmill.streaming import jobs
@@ -572,3 +572,6 @@ def stream_windowed_counts(s: SparkSession, d: str) -> DataFrame:
     events = events.withColumn("ts", F.col("ts").cast("timestamp"))
     out = jobs.replay(jobs.windowed_counts(events), "complete")
     return out.select(F.col("window.start").cast("date").alias("day"), "event_type", "n")
+
+
+QUERIES |= more_queries.QUERIES
