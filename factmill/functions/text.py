@@ -93,12 +93,27 @@ def rule_hits(text: Column, keywords: tuple[str, ...]) -> Column:
     return sum(((lower.rlike("(?U)" + k[1:-1]) if k.startswith("/") else F.contains(lower, F.lit(k))).cast("int") for k in keywords), F.lit(0))
 
 
+def rule_hit_counts(text: Column) -> Column:
+    """Array of how many keywords of each document rule a text has, in the rules' order."""
+    return F.array(*[rule_hits(text, keywords) for *_, keywords, _ in C.DOCUMENT_RULES])
+
+
+def once(value: Column) -> Column:
+    """A column that later steps use several times and that must not be worked out for each: a generator of one row."""
+    return F.explode(F.array(value))
+
+
 def classify_document(text: Column, path: Column | None = None, source_type: Column | None = None, explicit_trust: Column | None = None, ocr_confidence: Column | None = None) -> Column:
-    """struct(document_type, trust_level, tier, confidence, hits): the rule with most hits, the first on a tie, then overrides."""
+    """choose_rule() of a text."""
+    return choose_rule(rule_hit_counts(text), path, source_type, explicit_trust, ocr_confidence)
+
+
+def choose_rule(counts: Column, path: Column | None = None, source_type: Column | None = None, explicit_trust: Column | None = None, ocr_confidence: Column | None = None) -> Column:
+    """struct(document_type, trust_level, tier, confidence, hits) from rule_hit_counts(): the rule with most hits, the first on a tie, then overrides."""
     name = F.lower(F.coalesce(path, F.lit(""))) if path is not None else None
     options = []
-    for i, (kind, trust, tier, least, keywords, hints) in enumerate(C.DOCUMENT_RULES):
-        hits = rule_hits(text, keywords)
+    for i, (kind, trust, tier, least, _, hints) in enumerate(C.DOCUMENT_RULES):
+        hits = F.get(counts, F.lit(i))
         ok = hits >= least
         if name is not None:
             ok = ok | contains_any(name, hints)
@@ -162,11 +177,18 @@ TEST = r"\b([A-Z][A-Za-z ]{2,40})\s*:?\s+(\d+(?:\.\d+)?)\s*(mg/dL|mmol/L|%|bpm|m
 LOOSE_MEDICATION = r"(?i)([A-Za-z]{4,})\s+(\d+(?:\.\d+)?)\s*(mg|mcg|ml|g|units?)"
 
 
+ENTITY = "struct<type:string,text:string,value:string,unit:string>"
+
+
 def _found(text: Column, kind: str, pattern: str, value: bool) -> Column:
-    get = lambda g: F.regexp_extract_all(text, F.lit(pattern), F.lit(g))
-    if not value:
-        return F.transform(get(1), lambda n: F.struct(F.lit(kind).alias("type"), F.regexp_replace(n, r"^[ .;]+|[ .;]+$", "").alias("text"), F.lit(None).cast("string").alias("value"), F.lit(None).cast("string").alias("unit")))
-    return F.transform(F.arrays_zip(get(1).alias("a"), get(2).alias("b"), get(3).alias("c")), lambda z: F.struct(F.lit(kind).alias("type"), F.trim(z["a"]).alias("text"), z["b"].alias("value"), F.nullif(z["c"], F.lit("")).alias("unit")))
+    """One scan for the whole matches; their groups are read from the short matches."""
+    part = lambda m, g: F.regexp_extract(m, pattern, g)
+    none = F.lit(None).cast("string")
+    if value:
+        make = lambda m: F.struct(F.lit(kind).alias("type"), F.trim(part(m, 1)).alias("text"), part(m, 2).alias("value"), F.nullif(part(m, 3), F.lit("")).alias("unit"))
+    else:
+        make = lambda m: F.struct(F.lit(kind).alias("type"), F.regexp_replace(part(m, 1), r"^[ .;]+|[ .;]+$", "").alias("text"), none.alias("value"), none.alias("unit"))
+    return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), make)
 
 
 def entities(text: Column) -> Column:
@@ -177,7 +199,7 @@ def entities(text: Column) -> Column:
 def distinct_entities(found: Column) -> Column:
     """The first of each (type, lower-case text); blank texts go."""
     add = lambda done, e: F.when((e["text"] == "") | F.exists(done, lambda d: (d["type"] == e["type"]) & (F.lower(d["text"]) == F.lower(e["text"]))), done).otherwise(F.array_append(done, e))
-    return F.aggregate(found, F.slice(found, 1, 0), add)
+    return F.aggregate(found, F.array().cast(f"array<{ENTITY}>"), add)
 
 
 def drug_candidates(text: Column) -> Column:

@@ -82,8 +82,7 @@ def ocr_artifact_gate(s: SparkSession, d: str) -> DataFrame:
 
 
 def _misspelled(docs: DataFrame) -> DataFrame:
-    """(doc_id, n): distinct tokens near a medical term. Terms are looked up once per distinct token of the corpus; letters and length allow a
-    match only to tokens that share a letter pair with a term, which the search itself decides."""
+    """(doc_id, n): distinct tokens near a medical term. Terms are looked up once per distinct token of the corpus, among those of like letter pairs."""
     tokens = docs.select("doc_id", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit("[A-Za-zА-Яа-я]{4,}"), F.lit(0)), F.lower))).alias("t"))
     most = max(map(len, C.MEDICAL_TERMS))
     tokens = tokens.where(F.length("t") <= int(most * 1.36))  # a longer token cannot reach a ratio of .85
@@ -121,8 +120,8 @@ def ocr_quality_report(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def doc_classify(s: SparkSession, d: str) -> DataFrame:
-    kind = T.classify_document(F.col("text"), F.col("source"))
-    return _docs(s, d).select("doc_id", kind.alias("c")).select("doc_id", "c.document_type", "c.trust_level", "c.tier", F.round("c.confidence", 6).alias("confidence"), F.col("c.hits").cast("long").alias("hits"))
+    counted = _docs(s, d).select("doc_id", "source", T.once(T.rule_hit_counts(F.col("text"))).alias("hits"))
+    return counted.select("doc_id", T.once(T.choose_rule(F.col("hits"), F.col("source"))).alias("c")).select("doc_id", "c.document_type", "c.trust_level", "c.tier", F.round("c.confidence", 6).alias("confidence"), F.col("c.hits").cast("long").alias("hits"))
 
 
 @query
@@ -132,8 +131,8 @@ def doc_type_detect(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def doc_tier_histogram(s: SparkSession, d: str) -> DataFrame:
-    kind = T.classify_document(F.col("text"), F.col("source"))
-    return _docs(s, d).select(kind.alias("c")).groupBy("c.document_type", "c.tier").agg(F.count("*").alias("n"))
+    counted = _docs(s, d).select("source", T.once(T.rule_hit_counts(F.col("text"))).alias("hits"))
+    return counted.select(T.once(T.choose_rule(F.col("hits"), F.col("source"))).alias("c")).groupBy("c.document_type", "c.tier").agg(F.count("*").alias("n"))
 
 
 @query

@@ -289,3 +289,72 @@ def test_drain(spark, tmp_path):
     (source / "b.json").write_text('{"id": 1, "v": "c", "seq": 3}\n{"id": 2, "v": "d", "seq": 1}\n')
     jobs.drain(*args)
     assert sorted((r["id"], r["v"]) for r in spark.read.parquet(str(tmp_path / "out" / "v1")).collect()) == [(1, "c"), (2, "d")]
+
+
+def test_misspellings_against_the_whole_search():
+    """Candidates by letter pairs lose no term that a search among all terms finds."""
+    from difflib import get_close_matches
+
+    import pandas as pd
+
+    from factmill import config as C
+
+    rng = random.Random(7)
+    terms = sorted(C.MEDICAL_TERMS)
+    tokens = set(terms)
+    for _ in range(1500):
+        w = list(rng.choice(terms))
+        for _ in range(rng.randint(1, 3)):
+            i = rng.randrange(len(w))
+            w[i : i + 1] = rng.choice([[rng.choice("abcdeirst")], [w[i], w[i]], [w[i], rng.choice("aeior")], [] if len(w) > 4 else [w[i]]])
+        tokens.add("".join(w))
+    tokens = sorted(tokens)
+    want = [None if t in terms else (get_close_matches(t, terms, n=1, cutoff=0.85) or [None])[0] for t in tokens]
+    assert list(next(A.closest_term.func(iter([pd.Series(tokens)])))) == want and sum(w is not None for w in want) > 300
+
+
+def test_same_entity(spark):
+    from factmill.operators.promote import same_entity
+
+    cols = "id long, name string, content string, block string"
+    old = spark.createDataFrame([(1, "asthma", "x", "a"), (2, "", "severe chronic pain in the left knee", "a"), (3, "asthma", "y", "b"), (4, "", "two words", "a")], cols)
+    new = spark.createDataFrame([(10, "Asthma", "other", "a"), (11, "", "severe chronic pain in the left knee now", "a"), (12, "", "severe pain", "a"), (13, "x", "chronic pain in the right arm today", "a"), (14, "", "two words", "a"), (15, "", "severe chronic  pain in the left KNEE", "a"), (2, "", "severe chronic pain in the left knee", "a")], cols)
+    assert {r["id"]: r["match_id"] for r in same_entity(new, old).collect()} == {10: 1, 11: 2, 15: 2}
+
+
+def test_alias_by_name_and_vector(spark):
+    f = facts(spark, ("symptom", "headache", None, None), ("symptom", "headaches", None, None), ("symptom", "cephalalgia", None, None), ("symptom", "nausea", None, None))
+    assert {r["id"]: r["match_id"] for r in dedup.alias_matches(f, f).collect()} == {1: 0}
+    vectors = spark.createDataFrame([("headache", [1.0, 0.1]), ("cephalalgia", [0.99, 0.12]), ("nausea", [0.0, 1.0]), ("odd", None)], "name string, vector array<double>")
+    assert {r["id"]: r["match_id"] for r in dedup.alias_matches(f, f, vectors=vectors).collect()} == {1: 0, 2: 0}
+
+
+def test_rules_against_pairs_of_all_facts(spark):
+    """Firsts, running extremes and steps against every pair of facts."""
+    rng = random.Random(9)
+    rows = [(i, i, rng.randint(1, 2), rng.choice(["diagnosis", "medication"]), rng.choice(["warfarin", "apixaban", "asthma"]), rng.choice([None, 1.0]), None, rng.choice([None, *[dt.date(2024, 1, k) for k in (1, 3, 8, 9, 20, 28)]])) for i in range(120)]
+    df = spark.createDataFrame(rows, FACT)
+    exact, series, temporal = {}, {}, {}
+    for n in rows:
+        for e in rows:
+            if e[1] >= n[1] or e[2] != n[2]:
+                continue
+            gap = abs((n[7] - e[7]).days) if n[7] and e[7] else None
+            if (n[3], n[4], n[5]) == (e[3], e[4], e[5]) and ((n[7] is None and e[7] is None) or (gap is not None and gap <= 7)):
+                exact.setdefault(n[0], e[0])
+            if (n[3], n[4]) == (e[3], e[4]) and gap is not None and gap > 7 and gap > series.get(n[0], (0, 0))[1]:
+                series[n[0]] = (e[0], gap)
+            if n[7] and e[7] and ((n[3] == "medication" and e[3] == "diagnosis" and n[7] < e[7]) or (n[3] == "diagnosis" and e[3] == "medication" and e[7] < n[7])):
+                temporal.setdefault(n[0], e[0])
+    assert {r["id"]: r["match_id"] for r in dedup.exact_matches(df, df).collect()} == exact
+    assert {r["id"]: (r["match_id"], r["gap"]) for r in dedup.timeseries_matches(df, df).collect()} == series
+    assert {r["id"]: r["match_id"] for r in dedup.temporal_conflicts(df, df).collect()} == temporal and exact and series and temporal
+
+
+def test_severity_of_a_quarantine_must_be_known(spark):
+    from factmill.operators import review
+
+    found = spark.createDataFrame([(2, 1, "value_mismatch", "odd", "r")], "id long, match_id long, conflict_type string, severity string, reason string")
+    rows, _, _ = review.quarantine(found, facts(spark, ("note", "a", None, None)), F.lit("2024-01-01"))
+    with pytest.raises(Exception, match="severity must be"):
+        rows.collect()
