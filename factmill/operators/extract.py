@@ -126,21 +126,37 @@ def connector_profiles(attempts: DataFrame) -> DataFrame:
     )
 
 
+def _scored_routes(docs: DataFrame, profiles: DataFrame) -> DataFrame:
+    """docs with `routes`: array of (connector, place, score, eligible, cost_estimate). The profiles, three fixed rows, are one array in one broadcast row."""
+    one = profiles.groupBy().agg(F.array_sort(F.collect_list(F.struct("ord", "connector", "avg_latency_ms", "avg_confidence", "success_rate", "cost_estimate"))).alias("profiles"))
+    short = (F.col("n_chars") < C.DEFAULT.char_limit) & ~F.col("artifacts")
+
+    def route(p: Column) -> Column:
+        place = F.when(short, p["ord"]).otherwise(2 - p["ord"])
+        first = place == 0
+        shift = F.when((p["connector"] == "spacy") & ~first, -0.18).when((p["connector"] == "phi3") & first, 0.04).when((p["connector"] == "gemini") & first, 0.03).otherwise(0.0)
+        conf = F.greatest(F.lit(0.0), F.least(F.lit(1.0), p["avg_confidence"] + shift))
+        big = (p["connector"] == "gemini") & (F.col("n_chars") >= C.DEFAULT.char_limit)
+        score = (
+            conf * 0.4 + F.least(p["success_rate"], F.lit(1.0)) * 0.25 + F.greatest(F.lit(0.0), 1 - p["avg_latency_ms"] / (2 * C.DEFAULT.max_latency_ms)) * 0.15
+            + F.greatest(F.lit(0.0), 1 - p["cost_estimate"] / 0.03) * 0.15 + F.when(first, 0.05).otherwise(0.0) + F.when(big, 0.05).otherwise(0.0)
+        )
+        eligible = (conf >= C.DEFAULT.preferred_confidence) & (p["avg_latency_ms"] <= C.DEFAULT.max_latency_ms) & (p["success_rate"] >= C.DEFAULT.min_success_rate)
+        return F.struct(p["connector"].alias("connector"), place.alias("place"), F.round(score, 3).alias("score"), eligible.alias("eligible"), p["cost_estimate"].alias("cost_estimate"))
+
+    return docs.crossJoin(F.broadcast(one)).withColumn("routes", F.transform("profiles", route)).drop("profiles")
+
+
 def route_scores(docs: DataFrame, profiles: DataFrame) -> DataFrame:
     """(doc_id, connector, place, score, eligible, cost_estimate) for (doc_id, n_chars, artifacts): clean short texts try the cheap connector first."""
-    short = (F.col("n_chars") < C.DEFAULT.char_limit) & ~F.col("artifacts")
-    place = F.when(short, F.col("ord")).otherwise(2 - F.col("ord"))
-    all_ = docs.crossJoin(F.broadcast(profiles)).withColumn("place", place)  # profiles: three fixed rows
-    first = F.col("place") == 0
-    shift = F.when((F.col("connector") == "spacy") & ~first, -0.18).when((F.col("connector") == "phi3") & first, 0.04).when((F.col("connector") == "gemini") & first, 0.03).otherwise(0.0)
-    all_ = all_.withColumn("conf", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("avg_confidence") + shift)))
-    big = (F.col("connector") == "gemini") & (F.col("n_chars") >= C.DEFAULT.char_limit)
-    score = (
-        F.col("conf") * 0.4 + F.least(F.col("success_rate"), F.lit(1.0)) * 0.25 + F.greatest(F.lit(0.0), 1 - F.col("avg_latency_ms") / (2 * C.DEFAULT.max_latency_ms)) * 0.15
-        + F.greatest(F.lit(0.0), 1 - F.col("cost_estimate") / 0.03) * 0.15 + F.when(first, 0.05).otherwise(0.0) + F.when(big, 0.05).otherwise(0.0)
-    )
-    eligible = (F.col("conf") >= C.DEFAULT.preferred_confidence) & (F.col("avg_latency_ms") <= C.DEFAULT.max_latency_ms) & (F.col("success_rate") >= C.DEFAULT.min_success_rate)
-    return all_.select("doc_id", "connector", "place", F.round(score, 3).alias("score"), eligible.alias("eligible"), "cost_estimate")
+    return _scored_routes(docs, profiles).select("doc_id", F.explode("routes").alias("r")).select("doc_id", "r.*")
+
+
+def chosen_routes(docs: DataFrame, profiles: DataFrame) -> DataFrame:
+    """route_choice() of route_scores(), worked out within each row: no shuffle."""
+    key = lambda r: F.struct(F.when(r["eligible"], 0).otherwise(1).alias("a"), F.when(r["eligible"], r["cost_estimate"]).otherwise(0.0).alias("b"), (-r["score"]).alias("c"), r["place"].alias("d"), r["connector"].alias("connector"), r["score"].alias("score"))
+    best = F.explode(F.array(F.array_min(F.transform("routes", key))))
+    return _scored_routes(docs, profiles).select("doc_id", best.alias("b")).select("doc_id", "b.connector", "b.score")
 
 
 def route_choice(scores: DataFrame) -> DataFrame:

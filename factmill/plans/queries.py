@@ -336,9 +336,13 @@ def connector_profile(s: SparkSession, d: str) -> DataFrame:
     return extract.connector_profiles(_attempts(s, d)).drop("ord")
 
 
+def _route_inputs(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    docs = _docs(s, d).select("doc_id", F.length("text").alias("n_chars"), T.once(T.scan_artifacts(F.col("text"))).alias("artifacts"))
+    return docs, extract.connector_profiles(_attempts(s, d))
+
+
 def _routes(s: SparkSession, d: str) -> DataFrame:
-    docs = _docs(s, d).select("doc_id", F.length("text").alias("n_chars"), T.scan_artifacts(F.col("text")).alias("artifacts"))
-    return extract.route_scores(docs, extract.connector_profiles(_attempts(s, d)))
+    return extract.route_scores(*_route_inputs(s, d))
 
 
 @query
@@ -348,7 +352,7 @@ def route_scores(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def route_choice(s: SparkSession, d: str) -> DataFrame:
-    return extract.route_choice(_routes(s, d))
+    return extract.chosen_routes(*_route_inputs(s, d))
 
 
 @query
