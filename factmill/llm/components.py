@@ -7,15 +7,12 @@ from pyspark.sql import functions as F
 
 from factmill.llm.store import materialize
 
-#: Rows of two longs of a table that may be broadcast; in a larger one rows are dealt over SALTS copies, so that a hub is no task of its own.
-SENT_ROWS = 400_000
+#: Copies of a round's table of least neighbours over which its join is dealt, so that a hub is no task of its own.
 SALTS = 8
 
 
 def _with_least(rows: DataFrame, least: DataFrame) -> DataFrame:
-    """rows (u, v) with m of their u from the stored table least (u, m)."""
-    if least.count() <= SENT_ROWS:
-        return rows.join(F.broadcast(least), "u")
+    """rows (u, v) with m of their u from least (u, m)."""
     copies = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return rows.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(copies, ["u", "salt"]).drop("salt")
 
@@ -24,7 +21,7 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of the undirected edges (a, b) of longs; root is the smallest node of its component.
 
     Each round halves the distance to the root at least; every round is written to the shared folder. What comes to the
-    driver is two counts and one checksum a round.
+    driver is one count and one checksum a round.
     """
     pairs = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     before, pairs = None, materialize(pairs, "links")
@@ -34,9 +31,9 @@ def components(edges: DataFrame) -> DataFrame:
             return pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(pairs.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         before = state
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
-        large = materialize(_with_least(both, least).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "stars")
-        least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = _with_least(both, least).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = _with_least(large, least)
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         pairs = materialize(small.distinct(), "links")

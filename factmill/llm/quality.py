@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factmill.llm.kernels import SPACES, U, keyed, mix, runs, utf8, words
+from factmill.llm.store import fresh
 
 BUCKETS = 1 << 16
 DIMENSIONS = 8
@@ -115,7 +116,11 @@ def held_out(id_col: str, mod: int, rest: int):
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", rows_per_class: int = ROWS_PER_CLASS) -> tuple[np.ndarray, float]:
-    """Model from at most rows_per_class labelled rows of each class; labels that are null, and the held-out third, take no part."""
+    """Model from at most rows_per_class labelled rows of each class; labels that are null or not 0 or 1, null ids, and the held-out third take no part.
+
+    A label or document whose id is repeated is learned from once for each pair; null and empty texts have no features and change nothing but
+    the bias. Without labelled rows every score is one half, with one class alone it is near that class.
+    """
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col, 3, 1)).select(id_col, F.col(label_col).cast("int").alias("__label"))
     order = [F.xxhash64(id_col), F.col(id_col)]
     sample = known.where("__label = 0").orderBy(*order).limit(rows_per_class).unionByName(known.where("__label = 1").orderBy(*order).limit(rows_per_class))
@@ -144,16 +149,18 @@ def log_odds(data: np.ndarray, offsets: np.ndarray, weights: np.ndarray, bias: f
 
 
 def score_quality(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "text", out: str = "score") -> DataFrame:
-    """docs with a double column `out` from 0 to 1, higher where label 1 is likelier. Empty and null texts get the bias alone. One narrow pass."""
+    """docs with a double column `out` from 0 to 1, higher where label 1 is likelier. Empty and null texts get the bias alone; null ids and repeated
+    rows are scored like others; very long texts are scored whole. A column of the name `out` is replaced; others stay. One narrow pass."""
     weights, bias = model
+    hidden = fresh(docs, "__text")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, at = utf8(batch.column(batch.schema.get_field_index("__text")))
+            data, at = utf8(batch.column(batch.schema.get_field_index(hidden)))
             odds = log_odds(data, at, weights, bias)
-            keep = [i for i, name in enumerate(batch.schema.names) if name != "__text"]
+            keep = [i for i, name in enumerate(batch.schema.names) if name != hidden]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array(1 / (1 + np.exp(-np.clip(odds, -500, 500))))], [*(batch.schema.names[i] for i in keep), out])
 
     kept = [c for c in docs.columns if c != out]
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept), f"`{out}` double"])
-    return docs.select(*kept, F.col(text_col).alias("__text")).mapInArrow(score, schema)
+    return docs.select(*kept, F.col(text_col).alias(hidden)).mapInArrow(score, schema)

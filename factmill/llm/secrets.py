@@ -14,6 +14,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factmill.llm.store import fresh
+
 #: The base patterns in the order of their kinds, and the least characters of the whole match or of group 2.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{12,}"
@@ -142,18 +144,20 @@ def find_secrets(docs: DataFrame, model: list[float] | None = None, text_col: st
     """docs with one more column `out`: array of (start, rank, end, match), sorted; rank points into KINDS.
 
     Null or empty text: an empty array. Rows are neither dropped nor merged; no shuffle. Base spans always stay; model
-    spans never overlap them. Working columns begin with `__`.
+    spans never overlap them. Columns of docs keep their values whatever they are called.
     """
     model = model or train(labelled_samples(docs.sparkSession))
-    df = docs.withColumn("__text", F.coalesce(F.col(text_col), F.lit("")))
-    patterns = (("__assign", ASSIGN), ("__access", ACCESS), ("__hex", HEX), ("__runs", CANDIDATE))
-    df = df.withColumns({name: F.regexp_extract_all("__text", F.lit(p), F.lit(0)) for name, p in patterns})
-    df = df.withColumns({f"{name}_at": _spans("__text", name, p, rank) for rank, (name, p) in enumerate(patterns)})
-    df = df.withColumn("__assign_at", F.filter("__assign_at", lambda s: F.length(F.regexp_extract(s["match"], ASSIGN, 2)) >= ASSIGN_LEAST))
-    df = df.withColumn("__base", F.array_sort(F.concat("__assign_at", "__access_at", "__hex_at")))
-    parts = F.flatten(F.transform("__runs_at", lambda c: _outside(c, F.col("__base"))))
+    text, base, *names = (fresh(docs, f"__{n}") for n in ("text", "base", "assign", "access", "hex", "runs"))
+    patterns = (ASSIGN, ACCESS, HEX, CANDIDATE)
+    at = [fresh(docs, f"{n}_at") for n in names]
+    df = docs.withColumn(text, F.coalesce(F.col(text_col), F.lit("")))
+    df = df.withColumns({name: F.regexp_extract_all(text, F.lit(p), F.lit(0)) for name, p in zip(names, patterns, strict=True)})
+    df = df.withColumns({spans: _spans(text, name, p, rank) for rank, (spans, name, p) in enumerate(zip(at, names, patterns, strict=True))})
+    df = df.withColumn(at[0], F.filter(at[0], lambda s: F.length(F.regexp_extract(s["match"], ASSIGN, 2)) >= ASSIGN_LEAST))
+    df = df.withColumn(base, F.array_sort(F.concat(*at[:3])))
+    parts = F.flatten(F.transform(at[3], lambda c: _outside(c, F.col(base))))
     likely = F.filter(parts, lambda c: (F.length(c["match"]) > 1) & (best_llr(c["match"], model) >= LEAST_LLR))
-    df = df.withColumn(out, F.array_sort(F.concat("__base", F.when(F.size("__runs_at") > 0, likely).otherwise(F.slice("__runs_at", 1, 0)))))
+    df = df.withColumn(out, F.array_sort(F.concat(base, F.when(F.size(at[3]) > 0, likely).otherwise(F.slice(at[3], 1, 0)))))
     return df.select(*[F.col(c) for c in docs.columns if c != out], out)
 
 
@@ -171,21 +175,22 @@ def digest_secrets(found: DataFrame, id_col: str = "doc_id", spans: str = "secre
 
 def redact_secrets(docs: DataFrame, model: list[float] | None = None, mask: str = "<SECRET>", text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
     """docs with every secret of the text replaced by `mask` (overlapping spans by one); size_col, if there, follows the text. All rows stay."""
-    found = find_secrets(docs, model, text_col, "__found")
+    spans, merged = fresh(docs, "__found"), fresh(docs, "__merged")
+    found = find_secrets(docs, model, text_col, spans)
     joined = F.aggregate(
-        "__found",
+        spans,
         F.array().cast("array<struct<start:bigint,end:bigint>>"),
         lambda done, s: F.when(
             (F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))["end"] >= s["start"]),
             F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.struct(F.try_element_at(done, F.lit(-1))["start"].alias("start"), F.greatest(F.try_element_at(done, F.lit(-1))["end"], s["end"]).alias("end")))),
         ).otherwise(F.concat(done, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"))))),
     )
-    df = found.withColumn("__merged", joined)
-    before = lambda i: F.when(i == 0, F.lit(0).cast("long")).otherwise(F.get(F.col("__merged"), i - 1)["end"])
-    pieces = F.transform("__merged", lambda s, i: F.substr(F.col(text_col), (before(i) + 1).cast("int"), (s["start"] - before(i)).cast("int")))
-    tail = F.substr(F.col(text_col), (F.element_at("__merged", -1)["end"] + 1).cast("int"))
-    text = F.when(F.size("__merged") > 0, F.array_join(F.concat(pieces, F.array(tail)), mask)).otherwise(F.col(text_col))
+    df = found.withColumn(merged, joined)
+    before = lambda i: F.when(i == 0, F.lit(0).cast("long")).otherwise(F.get(F.col(merged), i - 1)["end"])
+    pieces = F.transform(merged, lambda s, i: F.substr(F.col(text_col), (before(i) + 1).cast("int"), (s["start"] - before(i)).cast("int")))
+    tail = F.substr(F.col(text_col), (F.element_at(merged, -1)["end"] + 1).cast("int"))
+    text = F.when(F.size(merged) > 0, F.array_join(F.concat(pieces, F.array(tail)), mask)).otherwise(F.col(text_col))
     df = df.withColumn(text_col, text)
     if size_col in docs.columns:
-        df = df.withColumn(size_col, F.when(F.size("__merged") > 0, F.length(text_col)).otherwise(F.col(size_col)).cast(docs.schema[size_col].dataType))
+        df = df.withColumn(size_col, F.when(F.size(merged) > 0, F.length(text_col)).otherwise(F.col(size_col)).cast(docs.schema[size_col].dataType))
     return df.select(*docs.columns)
