@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -48,8 +49,26 @@ def drain(spark: SparkSession, source: str, schema: str, target: str, checkpoint
     stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def _folder(spark: SparkSession) -> str:
+    """A new folder below the one that the cluster shares; a temporary one only where none is set and the master is local."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
+        shared = "file://" + tempfile.mkdtemp(prefix="factmill-")
+    return f"{shared.rstrip('/')}/replay/{uuid.uuid4().hex}"
+
+
 def replay(stream: DataFrame, mode: str = "update") -> DataFrame:
-    """Run a stream over what is there now, and return what it has put out as a table."""
-    name = f"out_{uuid.uuid4().hex}"
-    stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-    return stream.sparkSession.table(name)
+    """Run a stream over what is there now, and return what it has put out: one Parquet folder a batch, of which a complete stream's last one counts."""
+    spark, folder = stream.sparkSession, _folder(stream.sparkSession)
+    batches: list[int] = []
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/b{number}")
+        batches.append(number)
+
+    stream.writeStream.foreachBatch(write).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    if not batches:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(*[f"{folder}/b{n}" for n in (batches[-1:] if mode == "complete" else sorted(set(batches)))])
