@@ -319,7 +319,7 @@ def near_copies(seed, groups=6, copies=14):
     return out + out[5:12]
 
 
-@pytest.mark.parametrize("bounds", [(64, 240_000, 10_000), (3, 500, 5)])
+@pytest.mark.parametrize("bounds", [(64, 240_000, 10_000), (3, 2600, 5)])
 def test_jaccard_against_brute_force(spark, monkeypatch, bounds):
     """Also with bounds so small that every way of forming blocks is taken."""
     for name, value in zip(("LIST", "CHUNK_SIZE", "LIST_MOST"), bounds, strict=True):
