@@ -63,7 +63,8 @@ def annotated(rows: str, *keys: str) -> str:
     after = " ".join(f"WHEN regexp_matches(after, {q('(?is)' + _any([p for p, own in A.AFTER if own == kind]))}) THEN {q(kind)}" for kind in ("ruled_out", "absent"))
     certain = " ".join(f"WHEN regexp_matches(target, {q('(?is)' + _any(ps))}) THEN {q(level)}" for level, ps in A.CERTAINTY)
     return f"""WITH a0 AS ({rows}),
-a1 AS (SELECT *, length(entity) AS n, list_filter(range(1, length(text) + 1), lambda i: substring(lower(text), i, length(entity)) = lower(entity)) AS p FROM a0),
+l0 AS (SELECT *, length(entity) AS n, lower(text) AS low, lower(entity) AS sought FROM a0),
+a1 AS (SELECT * EXCLUDE (low, sought), list_filter(range(1, length(low) - n + 2), lambda i: substring(low, i, n) = sought) AS p FROM l0),
 a2 AS (SELECT *, list_filter(p, lambda i: NOT regexp_matches(substring(text, i - 1, CASE WHEN i > 1 THEN 1 ELSE 0 END), '{word}') AND NOT regexp_matches(substring(text, i + n, 1), '{word}')) AS w FROM a1),
 a3 AS (SELECT *, list_reduce(list_transform(CASE WHEN len(w) > 0 THEN w ELSE p END, lambda i: [i]), lambda a, b: CASE WHEN b[1] >= a[len(a)] + n THEN list_concat(a, b) ELSE a END, CAST([-1000000] AS BIGINT[])) AS spots FROM a2),
 a4 AS (SELECT {k}, entity, text, n, unnest(list_slice(spots, 2, len(spots))) AS i FROM a3),
