@@ -21,7 +21,7 @@ _CLASSES: np.ndarray | None = None
 #: Code points that are expanded into arrays at once.
 CHUNK_BYTES = 300_000
 #: Entries that a worker keeps before it starts afresh.
-CACHE_ENTRIES = 700_000
+CACHE_ENTRIES = 250_000
 
 
 def classes() -> np.ndarray:
