@@ -35,31 +35,39 @@ def _powers(n: int) -> np.ndarray:
 def parse(text: str, known: set[str], ends: list[int], at: int = 0, until: int | None = None) -> int:
     """Parse text[at:] into phrases: known gets them, ends their ends. A last piece that is known already adds nothing. until: stop before
     the first phrase that would read the character there or one after it. Returns where the parse stopped."""
-    n, last = len(text), len(text) if until is None else until
-    size = 1
-    while at < n:
-        if text[at : at + size] in known:
-            size += 1
-            while at + size <= n and text[at : at + size] in known:
-                size += 1
+    last = len(text) if until is None else until
+    add, note, end = known.add, ends.append, at + 1
+    piece = text[at:end]
+    while True:
+        if piece in known:
+            if end >= last:  # nothing is left, or the next character is out of bounds
+                return at
+            end += 1
+            piece = text[at:end]
+            while piece in known and end < last:
+                end += 1
+                piece = text[at:end]
+            if piece in known:
+                return at
         else:
-            while size > 1 and text[at : at + size - 1] not in known:
-                size -= 1
-        end = at + size
-        if end > last or end > n:
+            shorter = piece[:-1]
+            while shorter and shorter not in known:
+                piece, shorter = shorter, shorter[:-1]
+            end = at + len(piece)
+        if end > last or not piece:
             return at
-        known.add(text[at:end])
-        ends.append(end)
-        at = end
-    return at
+        add(piece)
+        note(end)
+        at, end = end, end + len(piece)
+        piece = text[at:end]
 
 
-def hashes(text: str, ends: list[int]) -> np.ndarray:
-    """64-bit hashes of the phrases that end there, in order; they depend on the phrases' characters alone."""
+def hashes(text: str, ends: list[int], at: int = 0) -> np.ndarray:
+    """64-bit hashes of the phrases from at on that end there, in order; they depend on the phrases' characters alone."""
     if not ends:
         return np.zeros(0, U)
-    points = np.frombuffer(text[: ends[-1]].encode("utf-32-le", "surrogatepass"), np.uint32)
-    stop = np.array(ends, np.int64)
+    points = np.frombuffer(text[at : ends[-1]].encode("utf-32-le"), np.uint32)
+    stop = np.array(ends, np.int64) - at
     start = np.append(0, stop[:-1])
     out, i = np.empty(len(stop), U), 0
     while i < len(stop):
@@ -89,10 +97,14 @@ def shown(sketch: np.ndarray) -> str:
 
 def likeness(a: np.ndarray, b: np.ndarray, keep: int = KEEP) -> float:
     """Share of the smallest values of both that both have, 0 to 1; two empty sketches are equal."""
-    both = np.union1d(a, b)[:keep]
+    both = np.sort(np.concatenate([a, b]))
     if not len(both):
         return 1.0
-    return float((np.isin(both, a) & np.isin(both, b)).sum() / len(both))
+    again = both[1:] == both[:-1]
+    union = len(both) - int(again.sum())
+    if union <= keep:
+        return (len(both) - union) / union
+    return int(again[np.cumsum(~again) < keep].sum()) / keep
 
 
 def sketch(text: str) -> np.ndarray:
@@ -111,12 +123,15 @@ def sketch_with_edit(text: str, follower: str) -> tuple[str, np.ndarray, np.ndar
         mine = sketch(text)
         return edited, mine, mine
     known: set[str] = set()
-    ends: list[int] = []
-    at = parse(text, known, ends, until=common)
-    also, more = set(known), list(ends)
-    parse(text, known, ends, at)
-    parse(edited, also, more, at)
-    return edited, smallest(hashes(text, ends)), smallest(hashes(edited, more))
+    shared: list[int] = []
+    at = parse(text, known, shared, until=common)
+    also, first = set(known), hashes(text, shared)
+    out = []
+    for whole, dictionary in ((text, known), (edited, also)):
+        ends: list[int] = []
+        parse(whole, dictionary, ends, at)
+        out.append(smallest(np.concatenate([first, hashes(whole, ends, at)])))
+    return edited, out[0], out[1]
 
 
 def _bounds(docs: DataFrame, buckets: int) -> tuple[np.ndarray, dict[int, int], dict[int, tuple]]:
