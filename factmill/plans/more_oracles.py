@@ -77,7 +77,7 @@ UNION ALL SELECT 'resolution', CAST(go.id AS VARCHAR), 'accepted', 'quarantine',
 UNION ALL SELECT 'medication', CAST(w.id AS VARCHAR), 'accepted', NULL, CASE WHEN w.id % 2 = 0 THEN 'Seen with another drug.' ELSE 'medium' END, NULL, 'medication', 'Medication: ' || f.entity_name, 'needs_review' FROM w JOIN f ON f.id = w.id WHERE rank = 2"""
     missing = "array_to_string(list_filter([CASE WHEN event_id % 7 = 0 THEN 'extractor' END, CASE WHEN event_id % 3 = 0 THEN 'latency_ms' END], lambda z: z IS NOT NULL), ',')"
     return {
-        "store_point_lookup": f"SELECT id, fact_type, name, tier FROM ({RECORDS}) WHERE id = 11",
+        "store_point_lookup": f"SELECT id, fact_type, name, tier FROM ({RECORDS}) WHERE id = (SELECT min(id) FROM ({RECORDS}) WHERE specialty = 'neurology')",
         "store_status_update": f"SELECT id, CASE WHEN hit THEN 'archived' ELSE status END AS status, CASE WHEN hit AND id % 4 = 1 THEN 'superseded' ELSE tier END AS tier, CASE WHEN hit THEN TIMESTAMP '2002-01-01' ELSE first_recorded END AS first_recorded FROM (SELECT *, id IN (SELECT id FROM ({RECORDS}) WHERE specialty = 'neurology' AND id % 2 = 1) AS hit FROM ({RECORDS}))",
         "ledger_events": f"SELECT 'enrichment_write' AS event_type, id AS record_id, source_type, tier FROM ({RECORDS}) WHERE tier = 'active'",
         "review_queue_scan": f"SELECT id, fact_type, name FROM ({RECORDS}) WHERE source_type IN ('ai_response', 'web') OR trust_level >= 3 OR extraction_method IN ('gemini', 'claude', 'phi3')",

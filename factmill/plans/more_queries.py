@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factmill import config as C
-from factmill.operators import contract, dedup, extract, promote, registry, resolve, review, safety, store, vector
+from factmill.operators import contract, dedup, extract, gate, promote, registry, resolve, review, safety, store, vector, writer
 from factmill.plans import views
+from factmill.sources.recordstore import RecordStore
+from factmill.sources.shared import scratch_folder
 from factmill.sources.tables import table
 
 AS_OF = "2002-01-01"
@@ -25,7 +29,9 @@ def _content(records: DataFrame) -> DataFrame:
 
 @query
 def store_point_lookup(s: SparkSession, d: str) -> DataFrame:
-    return store.point_lookup(views.records(s, d), 11).select("id", "fact_type", "name", "tier")
+    """The neurology record of the smallest id."""
+    r = views.records(s, d)
+    return store.point_lookup(r, r.where("specialty = 'neurology'").agg(F.min("id")).first()[0]).select("id", "fact_type", "name", "tier")
 
 
 @query
@@ -253,3 +259,52 @@ def vector_text(s: SparkSession, d: str) -> DataFrame:
 def occurrence_counts(s: SparkSession, d: str) -> DataFrame:
     f = dedup.prepared(views.facts(s, d))
     return f.groupBy("subject_id", "type", "name", F.col("rounded").alias("value")).agg(F.count("*").alias("occurrence_count"), F.min("id").alias("first_id"))
+
+
+def _gate_rows(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(candidates, existing records, near pairs): records of 1998 and later against the earlier ones.
+
+    An entity is a name with the subject's number mod 7. Contents leave the value out over 40, are too short at a value of 1, and the type is none
+    at a value of 2. Near are records of one type, subject and value in different specialties.
+    """
+    text = lambda c: F.col(c).cast("string")
+    value, subject = F.col("value").cast("int"), F.col("subject_id")
+    r = views.records(s, d).withColumn("fact_type", F.when(value == 2, "rumour").otherwise(F.col("fact_type")))
+    r = r.withColumn("name", F.concat(F.col("name"), F.lit("-"), (subject % 7).cast("string")))
+    long = F.concat_ws(" ", "fact_type", "name", F.lit("subject"), text("subject_id"), F.lit("level"), value.cast("string"))
+    content = F.when(value == 1, "x").when(value > 40, F.concat_ws(" ", "fact_type", "name")).otherwise(long)
+    r = r.withColumn("content", content).withColumn("requires_review", (F.col("trust_level") == 5) & (F.col("source_count") == 3))
+    known = r.select("id", "fact_type", "specialty", "subject_id", "value").where("value > 2")
+    a, b = known.alias("a"), known.alias("b")
+    same = F.expr("a.fact_type = b.fact_type AND a.subject_id = b.subject_id AND a.value = b.value AND a.specialty < b.specialty")
+    near = a.join(b, same).select("a.id", F.col("b.id").alias("other_id"), (0.92 + F.abs(F.col("a.id") - F.col("b.id")) % 8 / 100).alias("similarity"))
+    return r.where("first_recorded >= '1998-01-01'"), r.where("first_recorded < '1998-01-01'"), near
+
+
+@query
+def quality_gate_ordered(s: SparkSession, d: str) -> DataFrame:
+    """Every candidate against what is held by then, those before it included: all decisions, with the rule of a conflict."""
+    new, old, near = _gate_rows(s, d)
+    out = gate.ordered_gate(new, old, F.lit(AS_OF).cast("date"), near)
+    return out.select("id", "decision", "match_id", "rule", F.md5("content").alias("content_md5"), F.round("confidence", 6).alias("confidence"), "status", "tier", "requires_review", "outdated")
+
+
+@query
+def record_writer(s: SparkSession, d: str) -> DataFrame:
+    """The tables of a record store after the records before 1998 and batches of 1998, 1999 and later, each batch written twice: records, vectors, events, review items."""
+    new, old, near = _gate_rows(s, d)
+    held = RecordStore(s, f"{scratch_folder(s)}/store-{uuid.uuid4().hex}", writer.tables(old.schema), 8)
+    writer.load(held, old)
+    year = F.year("first_recorded") - 1997
+    for batch in (1, 2, 3):
+        mine = new.where(year == batch) if batch < 3 else new.where(year >= batch)
+        for _ in range(2):
+            writer.write_batch(held, mine, F.date_add(F.lit(AS_OF).cast("date"), batch), batch, near)
+        if batch == 2:
+            held.compact("records")
+    none = lambda t: F.lit(None).cast(t)
+    day = F.date_add(F.lit(AS_OF).cast("date"), F.col("batch").cast("int"))
+    rows = held.read("records").select(F.lit("record").alias("kind"), "id", F.col("status").alias("a"), F.col("tier").alias("b"), F.md5("content").alias("c"), F.col("last_confirmed").alias("day"), F.array_contains("tags", "possibly_outdated").alias("late"))
+    rows = rows.unionByName(held.read("vectors").select(F.lit("vector").alias("kind"), "id", none("string").alias("a"), none("string").alias("b"), F.md5("text").alias("c"), none("date").alias("day"), none("boolean").alias("late")))
+    rows = rows.unionByName(held.read("ledger").select(F.lit("event").alias("kind"), F.col("record_id").alias("id"), F.col("event_type").alias("a"), F.col("source_type").alias("b"), F.col("rule").alias("c"), day.alias("day"), none("boolean").alias("late")))
+    return rows.unionByName(held.read("queue").select(F.lit("queue").alias("kind"), "id", F.col("reason").alias("a"), none("string").alias("b"), F.md5("content").alias("c"), day.alias("day"), none("boolean").alias("late")))

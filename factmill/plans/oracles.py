@@ -6,7 +6,7 @@ import re
 from difflib import SequenceMatcher
 
 from factmill import config as C
-from factmill.plans import more_oracles, note_oracles, views
+from factmill.plans import gate_oracles, more_oracles, note_oracles, views
 
 FACTS = views.FACTS.format(events="events")
 RECORDS = views.RECORDS.format(lineitem="lineitem", orders="orders")
@@ -242,3 +242,4 @@ ORACLES: dict[str, str] = {
 }
 ORACLES |= note_oracles.ORACLES
 ORACLES |= more_oracles.oracles(KEYED, CONFLICTS, CONSENSUS, COSINE)
+ORACLES |= gate_oracles.ORACLES

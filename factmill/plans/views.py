@@ -22,7 +22,8 @@ SELECT event_id AS id, event_id AS ord, user_id AS subject_id,
 FROM {events}"""
 
 RECORDS = """
-SELECT l_orderkey * 10 + l_linenumber AS id,
+SELECT (l_orderkey * 10 + l_linenumber) * 101 + row_number() OVER (PARTITION BY l_orderkey, l_linenumber
+    ORDER BY l_partkey, l_suppkey, l_quantity, l_discount, l_returnflag, l_linestatus, l_shipdate) - 1 AS id,
   CASE l_partkey % 6 WHEN 0 THEN 'diagnosis' WHEN 1 THEN 'medication' WHEN 2 THEN 'test_result' WHEN 3 THEN 'symptom' WHEN 4 THEN 'note' ELSE 'recommendation' END AS fact_type,
   concat('p', CAST(l_partkey % 97 AS VARCHAR(10))) AS name, o_custkey AS subject_id,
   CASE l_suppkey % 5 WHEN 0 THEN 'neurology' WHEN 1 THEN 'epilepsy' WHEN 2 THEN 'gastroenterology' WHEN 3 THEN 'urology' ELSE 'general' END AS specialty,

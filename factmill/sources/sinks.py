@@ -1,12 +1,10 @@
-"""Sinks: append-only JSON lines, versioned keyed tables, and a split of one table by route."""
+"""Sinks: append-only JSON lines, and a split of one table by route. Keyed tables are in recordstore.py."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factmill.operators.store import upsert
-
 
 def append_json(rows: DataFrame, path: str) -> None:
     """Audit, ledger, review and pending rows as JSON lines."""
@@ -18,13 +16,6 @@ def write_routes(rows: DataFrame, folder: str, route: str = "route") -> None:
     rows.write.mode("append").partitionBy(route).parquet(folder)
 
 
-def write_version(spark: SparkSession, changes: DataFrame, folder: str, version: int, key: str = "id", order: str = "seq") -> DataFrame:
-    """Version `version` of a keyed table: the one before with the changes inserted or replaced. Readers of older versions are not disturbed."""
-    old = spark.read.parquet(f"{folder}/v{version - 1}") if version else changes.limit(0)
-    upsert(old, changes, key, order).write.parquet(f"{folder}/v{version}")
-    return spark.read.parquet(f"{folder}/v{version}")
-
-
 def timeline(facts: DataFrame) -> DataFrame:
     """Points of dated numeric facts, one for each (entity, subject, date, fact)."""
     rows = facts.where("value IS NOT NULL AND date IS NOT NULL").select("entity_type", F.lower("entity_name").alias("canonical_name"), F.col("subject_id").alias("subject"), "value", "unit", "date", F.col("id").alias("source_fact_id"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -10,7 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factmill.operators.store import upsert
+from factmill.sources.recordstore import RecordStore, Table
+from factmill.sources.shared import scratch_folder
 
 PROFILE = "connector string, attempts long, successes long, latency_total double, confidence_total double"
 
@@ -36,27 +36,27 @@ def windowed_counts(events: DataFrame, time: str = "ts", late: str = "1 day", wi
     return events.withWatermark(time, late).groupBy(F.window(time, width), "event_type").agg(F.count("*").alias("n"))
 
 
-def drain(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, key: str = "id", order: str = "seq") -> None:
-    """Upsert all JSON lines that are new in `source` into versioned Parquet folders below `target`; a restart repeats no batch."""
+def drain(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, key: str = "id", order: str = "seq") -> RecordStore:
+    """Commit all JSON lines that are new in `source` to the record store at `target`, a batch at a time; a restart repeats no batch.
+
+    Table `rows` has the lines by key, the last in order of each; lines that are no JSON of the schema, or have no key, are in `rejected`.
+    """
+    held = RecordStore(spark, target, {"rows": Table(schema, key), "rejected": Table("line string, batch long")})
 
     def write(batch: DataFrame, number: int) -> None:
-        path = f"{target}/v{number}"
-        old = spark.read.parquet(f"{target}/v{number - 1}") if number else None
-        new = batch.drop("_corrupt_record")
-        (upsert(old, new, key, order) if old is not None else upsert(new.limit(0), new, key, order)).write.mode("overwrite").parquet(path)
+        good = F.col("_corrupt_record").isNull() & F.col(key).isNotNull()
+        line = F.coalesce("_corrupt_record", F.to_json(F.struct(*held.schemas["rows"].names)))
+        rejected = batch.where(~good).select(line.alias("line"), F.lit(number).cast("long").alias("batch"))
+        held.commit({"rows": batch.where(good).drop("_corrupt_record"), "rejected": rejected}, checkpoint, number, order)
 
-    stream = spark.readStream.schema(schema).json(source)
+    stream = spark.readStream.schema(f"{schema}, _corrupt_record string").json(source)
     stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return held
 
 
 def _folder(spark: SparkSession) -> str:
-    """A new folder below the one that the cluster shares; a temporary one only where none is set and the master is local."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
-        shared = "file://" + tempfile.mkdtemp(prefix="factmill-")
-    return f"{shared.rstrip('/')}/replay/{uuid.uuid4().hex}"
+    """A new folder for what a replayed stream puts out."""
+    return f"{scratch_folder(spark)}/replay-{uuid.uuid4().hex}"
 
 
 def replay(stream: DataFrame, mode: str = "update") -> DataFrame:

@@ -283,12 +283,15 @@ def test_drain(spark, tmp_path):
 
     source = tmp_path / "in"
     source.mkdir()
-    (source / "a.json").write_text('{"id": 1, "v": "a", "seq": 1}\n{"id": 1, "v": "b", "seq": 2}\n')
+    (source / "a.json").write_text('{"id": 1, "v": "a", "seq": 1}\n{"id": 1, "v": "b", "seq": 2}\nno json\n')
     args = (spark, str(source), "id long, v string, seq long", str(tmp_path / "out"), str(tmp_path / "ck"))
     jobs.drain(*args)
-    (source / "b.json").write_text('{"id": 1, "v": "c", "seq": 3}\n{"id": 2, "v": "d", "seq": 1}\n')
+    (source / "b.json").write_text('{"id": 1, "v": "c", "seq": 3}\n{"id": 2, "v": "d", "seq": 1}\n{"v": "no key"}\n')
     jobs.drain(*args)
-    assert sorted((r["id"], r["v"]) for r in spark.read.parquet(str(tmp_path / "out" / "v1")).collect()) == [(1, "c"), (2, "d")]
+    held = jobs.drain(*args)
+    assert sorted((r["id"], r["v"]) for r in held.read("rows").collect()) == [(1, "c"), (2, "d")]
+    assert sorted((r["line"], r["batch"]) for r in held.read("rejected").collect()) == [("no json", 0), ('{"v":"no key"}', 1)]
+    assert len(held.versions()) == 2
 
 
 def test_misspellings_against_the_whole_search():
