@@ -2,7 +2,7 @@
 
 Facts: (id, ord, subject_id, entity_type, entity_name, value, unit, date). With `earlier`, a fact is only compared with those
 that come before it. The first match of a group is the first fact of the group, so most rules join facts to groups of one row, and
-never pair all facts of a subject; only value conflicts of one entity, which are counted, are pairs.
+never pair all facts of a subject; values are searched along sorted values of a day. Only paired_conflicts(), which counts pairs, makes them.
 """
 
 from __future__ import annotations
@@ -139,7 +139,7 @@ def _excludes(a: Column, b: Column) -> Column:
 def values_differ(a: Column, b: Column) -> Column:
     """Over two per cent of the larger magnitude apart; null never differs."""
     most = F.greatest(F.abs(a), F.abs(b))
-    return F.coalesce((most > 0) & (F.abs(a - b) / F.greatest(most, F.lit(1e-9)) > 0.02), F.lit(False))
+    return F.coalesce((most > 0) & (F.abs(a - b) / F.greatest(most, F.lit(1e-9)) > SHARE), F.lit(False))
 
 
 def _implausible() -> Column:
@@ -187,7 +187,7 @@ def temporal_conflicts(new: DataFrame, existing: DataFrame, earlier: bool = True
 
 
 def paired_conflicts(new: DataFrame, existing: DataFrame, earlier: bool = True) -> DataFrame:
-    """(id, match_id, ord, kind, severity) of the conflicts between facts of one type: the first existing fact with any, and its first kind."""
+    """(id, match_id, ord, kind, type) of all pairs of facts of one type that are in conflict, by the first kind that holds, for counts of pairs; conflicts() doesn't pair."""
     n, e = _sides(new, existing)
     same = n.join(e, _on("type", "key", earlier=earlier))
     value = (_gap() <= 1) & values_differ(F.col("n_value"), F.col("e_value"))
@@ -198,6 +198,68 @@ def paired_conflicts(new: DataFrame, existing: DataFrame, earlier: bool = True)
     return same.unionByName(other).where("kind IS NOT NULL").select(F.col("n_id").alias("id"), F.col("e_id").alias("match_id"), F.col("e_ord").alias("ord"), "kind", F.col("n_type").alias("type"))
 
 
+def first_exclusive(new: DataFrame, existing: DataFrame, earlier: bool = True) -> DataFrame:
+    """(id, match_id, ord, type): the first existing fact of a variant that excludes the new one's, in the same type. A new fact meets the first fact of each opposite variant."""
+    has = lambda words: F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(F.col("name"), w))
+    sides = [(f"{i}{s}", f"{i}{t}", words) for i, (left, right) in enumerate(C.EXCLUSIVE) for s, t, words in (("l", "r", left), ("r", "l", right))]
+    spread = lambda df, at: df.withColumn("variant", F.explode(F.array_compact(F.array(*[F.when(has(x[2]), F.lit(x[at])) for x in sides]))))
+    first = _firsts(spread(prepared(existing), 0), "type", "variant")
+    on = (F.col("subject_id") == F.col("e_subject_id")) & (F.col("type") == F.col("e_type")) & (F.col("variant") == F.col("e_variant"))
+    found = _earlier(spread(prepared(new), 1).join(first, on), earlier)
+    return found.groupBy("id", "type").agg(F.min(F.struct("e_ord", "e_id")).alias("f")).select("id", F.col("f.e_id").alias("match_id"), F.col("f.e_ord").alias("ord"), "type")
+
+
+#: Two values differ if they are farther apart than this share of the larger magnitude.
+SHARE = 0.02
+#: Decimal places to which limits are cut where that is within a billionth of them, so that a limit that is a value compares as that value.
+PLACES = 10
+
+
+def _limits(facts: DataFrame) -> DataFrame:
+    """A row for each rule of values and direction that a fact has: a value x of sign * value is in conflict if x > c, or x = c and not strict, up to `span` days away."""
+    none, change = F.lit(None).cast("double"), lambda days, most: F.struct(F.lit(3).alias("kind"), F.lit(days - 1).alias("span"), F.lit(float(most)).alias("change"))
+    rules = [F.struct(F.lit(2).alias("kind"), F.lit(1).alias("span"), none.alias("change")), *(F.when(F.col("key") == entity, change(days, most)) for entity, days, most in C.IMPLAUSIBLE)]
+    rows = facts.withColumn("rule", F.explode(F.array_compact(F.array(*rules)))).withColumn("sign", F.explode(F.array(F.lit(1), F.lit(-1))))
+    rows = rows.select("*", "rule.kind", "rule.span", "rule.change", (F.col("value") * F.col("sign")).alias("v"))
+    exact = F.when(F.col("kind") == 3, F.col("v") + F.col("change")).when(F.col("v") > 0, F.col("v") / (1 - SHARE)).otherwise(F.col("v") * (1 - SHARE))
+    near = F.round("exact", PLACES)
+    rows = rows.withColumn("exact", exact).withColumn("c", F.when(F.abs(near - F.col("exact")) <= 1e-9 * F.abs("exact"), near).otherwise(F.col("exact")))
+    inside = F.when(F.col("kind") == 3, F.abs(F.col("v") - F.col("c")) <= F.col("change")).otherwise(~values_differ(F.col("c"), F.col("v")))
+    return rows.withColumn("strict", inside).drop("rule", "exact", "v", "change")
+
+
+def first_value_conflicts(new: DataFrame, existing: DataFrame, earlier: bool = True) -> DataFrame:
+    """(id, match_id, ord, kind, type): the first existing fact of the same entity whose value is at odds, for either kind: 2 differs within a day, 3 changes too much within
+    the days of its rule.
+
+    A new fact asks the days around it that the entity has facts on and whose extreme values are beyond its limits. Of one day, the first fact beyond a
+    limit is a running minimum of the order along falling values, with each value standing once; so no two facts of an entity
+    are paired, and a day of very many facts is sorted once. Facts without a value or a date have no such conflict.
+    """
+    usable = F.col("value").isNotNull() & ~F.isnan("value") & F.col("date").isNotNull()
+    n, e = prepared(new).where(usable), prepared(existing).where(usable)
+    keys = ["subject_id", "type", "key", "date"]
+    values = e.groupBy(*keys, "value").agg(F.min(F.struct("ord", "id")).alias("f"))
+    days = values.groupBy(*keys).agg(F.max("value").alias("most"), F.min("value").alias("least"), F.min("f.ord").alias("first"))
+    asks = _limits(n).withColumn("date", F.explode(F.sequence(F.date_sub("date", F.col("span")), F.date_add("date", F.col("span"))))).drop("span", "value")
+    asks = asks.join(days, keys).withColumn("reach", F.when(F.col("sign") == 1, F.col("most")).otherwise(-F.col("least")))
+    asks = asks.where("reach > c OR (reach = c AND NOT strict)")
+    asks = asks.where("first < ord") if earlier else asks
+    held = values.withColumn("sign", F.explode(F.array(F.lit(1), F.lit(-1)))).select(*keys, "sign", (F.col("value") * F.col("sign")).alias("at"), F.lit(1).alias("tie"), "f", *[F.lit(None).cast(t).alias(c) for c, t in (("id", n.schema["id"].dataType), ("kind", "int"), ("mine", n.schema["ord"].dataType))])
+    tie = F.when(F.col("strict"), 0).otherwise(2)
+    asked = asks.select(*keys, "sign", F.col("c").alias("at"), tie.alias("tie"), F.lit(None).cast(values.schema["f"].dataType).alias("f"), "id", "kind", F.col("ord").alias("mine"))
+    w = W.partitionBy(*keys, "sign").orderBy(F.desc("at"), "tie").rowsBetween(W.unboundedPreceding, W.currentRow)
+    found = held.unionByName(asked).withColumn("b", F.min("f").over(w)).where("id IS NOT NULL AND b IS NOT NULL")
+    found = found.where("b.ord < mine") if earlier else found
+    return found.groupBy("id", "type", "kind").agg(F.min("b").alias("b")).select("id", F.col("b.id").alias("match_id"), F.col("b.ord").alias("ord"), "kind", "type")
+
+
+def first_conflicts(new: DataFrame, existing: DataFrame, earlier: bool = True) -> DataFrame:
+    """(id, match_id, ord, kind, type): for each kind of conflict between facts of one type, the first existing fact with it."""
+    exclusive = first_exclusive(new, existing, earlier).withColumn("kind", F.lit(1))
+    return exclusive.unionByName(first_value_conflicts(new, existing, earlier))
+
+
 def _marked(c: Column) -> Column:
     words = [w for left, right in C.EXCLUSIVE for w in (*left, *right)]
     return F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(c, w))
@@ -209,7 +271,7 @@ KINDS = {1: "type_mismatch", 2: "value_mismatch", 3: "implausible_change"}
 def conflicts(new: DataFrame, existing: DataFrame, earlier: bool = True) -> DataFrame:
     """(id, match_id, conflict_type, severity): the first conflict of each new fact: drugs, then time, then the first existing fact in order."""
     rank = lambda stage, df, kind: df.select("id", F.struct(F.lit(stage).alias("stage"), "ord", kind.alias("kind"), "match_id", df["type"] if "type" in df.columns else F.lit("").alias("type")).alias("f"))
-    pool = rank(1, drug_conflicts(new, existing, earlier), F.lit(0)).unionByName(rank(2, temporal_conflicts(new, existing, earlier), F.lit(0))).unionByName(rank(3, paired_conflicts(new, existing, earlier), F.col("kind")))
+    pool = rank(1, drug_conflicts(new, existing, earlier), F.lit(0)).unionByName(rank(2, temporal_conflicts(new, existing, earlier), F.lit(0))).unionByName(rank(3, first_conflicts(new, existing, earlier), F.col("kind")))
     best = pool.groupBy("id").agg(F.min("f").alias("f"))
     stage, kind = F.col("f.stage"), F.col("f.kind")
     name = F.when(stage == 1, "drug_interaction").when(stage == 2, "temporal").when(kind == 1, "type_mismatch").when(kind == 2, "value_mismatch").otherwise("implausible_change")
