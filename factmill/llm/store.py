@@ -1,31 +1,12 @@
-"""Materialised intermediate tables in the folder that driver and executors share."""
+"""Intermediate tables and column names of the operators."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import DataFrame
 
-from pyspark.sql import DataFrame, SparkSession
+from factmill.sources.shared import materialize, shared_folder
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a temporary folder only where none is set and the master is local."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
-    folder = "file://" + tempfile.mkdtemp(prefix="factmill-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: lineage is cut, and a lost executor costs only a re-read."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/factmill/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["fresh", "materialize", "shared_folder"]
 
 
 def fresh(df: DataFrame, name: str) -> str:

@@ -295,6 +295,7 @@ def pack(docs: DataFrame, tokenizer_file: str, capacity: int = 2048, end_id: int
         keep(bins.close())
         if rows:
             yield flush()
+        pieces.forget()  # else the worker's table stays in memory while later stages run
 
     schema = f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     return docs.select(id_col, text_col).mapInArrow(fill, schema).withColumnRenamed("id", id_col)

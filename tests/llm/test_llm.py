@@ -14,8 +14,9 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from factmill.llm import components, decontaminate, embeddings, html, jaccard, kernels, lm, pretoken, quality, secrets, sharding, tokens
+from factmill.llm import decontaminate, embeddings, html, jaccard, kernels, lm, pretoken, quality, secrets, sharding, tokens
 from factmill.llm.queries import ORACLES, QUERIES
+from factmill.operators.groups import components
 from tests.compare import compare, connect
 
 SF = "/root/testdata/sf0.001"
@@ -358,7 +359,7 @@ def test_keep_one(spark):
 
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (102, 100), (7, 7)]
-    got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 102: 100}
 
 
