@@ -528,10 +528,10 @@ def timeline_points(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def record_projection(s: SparkSession, d: str) -> DataFrame:
-    """Records of three kinds of source from the facts' names as extractor lists."""
+    """Records of three kinds of source from the facts' names as extractor lists, one fact a document."""
     f = views.facts(s, d)
-    of = lambda t: F.collect_list(F.when(F.col("entity_type") == t, F.col("entity_name")))
-    lists = f.groupBy(F.col("subject_id").alias("doc_id")).agg(of("diagnosis").alias("diagnoses"), of("medication").alias("medications"), of("test_result").alias("test_results"), of("symptom").alias("notes"), of("measurement").alias("recommendations"))
+    of = lambda t: F.when(F.col("entity_type") == t, F.array("entity_name")).otherwise(F.array().cast("array<string>"))
+    lists = f.select(F.col("id").alias("doc_id"), of("diagnosis").alias("diagnoses"), of("medication").alias("medications"), of("test_result").alias("test_results"), of("symptom").alias("notes"), of("measurement").alias("recommendations"))
     lists = lists.withColumns({"confidence": F.lit(0.8), "trust_level": F.lit(4)})
     out = records.from_lists(lists, "document").unionByName(records.from_lists(lists, "web")).unionByName(records.from_lists(lists, "ai_response"))
     return out.groupBy("source_type", "fact_type", "tier", "trust_level", F.round("confidence", 4).alias("confidence"), "content").agg(F.count("*").alias("n"))

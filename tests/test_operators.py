@@ -361,3 +361,23 @@ def test_severity_of_a_quarantine_must_be_known(spark):
     rows, _, _ = review.quarantine(found, facts(spark, ("note", "a", None, None)), F.lit("2024-01-01"))
     with pytest.raises(Exception, match="severity must be"):
         rows.collect()
+
+
+def test_selection_by_counts(spark):
+    """Every place of groups with ties, extremes, negative zeros and values that differ in their last bit."""
+    import random
+
+    from factmill.operators import store
+
+    rng = random.Random(4)
+    groups = {
+        "ties": [1.0] * 50 + [2.0] * 7, "one": [3.5], "wide": [-1.7e308, 1.7e308, 0.0, 5e-324, -5e-324, 1.0], "close": [1.0, 1.0000000000000002, 1.0000000000000004, 0.9999999999999999],
+        "many": [rng.gauss(0, 1) for _ in range(300)] + [1e12], None: [float(i) for i in range(20)],
+    }
+    values = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs], "tier string, value double").repartition(5)
+    for share in (0.0, 0.3, 0.5, 0.95, 1.0):
+        place = {g: max(1, round(share * len(vs))) for g, vs in groups.items()}
+        got = store.selected(values, spark.createDataFrame(list(place.items()), "tier string, place long"), "tier", "value").collect()
+        assert {r["tier"]: r["value"] for r in got} == {g: sorted(vs)[place[g] - 1] for g, vs in groups.items()}
+    assert store.selected(values.limit(0), spark.createDataFrame([("x", 1)], "tier string, place long"), "tier", "value").collect() == []
+    assert {r["tier"]: r["p95"] for r in store.audit_performance(values.where("tier IN ('one', 'ties')")).collect()} == {"one": None, "ties": 2.0}
