@@ -1,6 +1,6 @@
 """Duplicate and conflict search between new facts and existing ones of the same subject.
 
-Facts: (id, ord, subject_id, entity_type, entity_name, value, unit, date). With `earlier`, a fact is only compared with those
+Facts: (id, ord, subject_id, entity_type, entity_name, value, unit, date), and value_text where values may be words. With `earlier`, a fact is only compared with those
 that come before it. The first match of a group is the first fact of the group, so most rules join facts to groups of one row, and
 never pair all facts of a subject; values are searched along sorted values of a day. Only paired_conflicts(), which counts pairs, makes them.
 """
@@ -21,10 +21,12 @@ DIAGNOSES = ("diagnosis", "condition")
 
 
 def prepared(facts: DataFrame) -> DataFrame:
-    """facts with the keys that the rules join on."""
-    return facts.select(
+    """facts with the keys that the rules join on. A value_text that reads as a number is that number, if the fact has none."""
+    words = norm(F.col("value_text")) if "value_text" in facts.columns else F.lit("")
+    value = F.coalesce("value", words.try_cast("double")) if "value_text" in facts.columns else F.col("value")
+    return facts.withColumn("value", value).withColumn("text", F.when(F.col("value").isNull(), F.nullif(words, F.lit("")))).select(
         "id", "ord", "subject_id", F.lower(F.coalesce("entity_type", F.lit(""))).alias("type"), norm(F.col("entity_name")).alias("name"), canonical(F.col("entity_name")).alias("canon"),
-        entity_key(F.col("entity_name")).alias("key"), F.round("value", 4).alias("rounded"), "value", F.col("date").cast("date").alias("date"),
+        entity_key(F.col("entity_name")).alias("key"), F.round("value", 4).alias("rounded"), "value", "text", F.col("date").cast("date").alias("date"),
     )
 
 
@@ -254,10 +256,30 @@ def first_value_conflicts(new: DataFrame, existing: DataFrame, earlier: bool = T
     return found.groupBy("id", "type", "kind").agg(F.min("b").alias("b")).select("id", F.col("b.id").alias("match_id"), F.col("b.ord").alias("ord"), "kind", "type")
 
 
+def first_text_conflicts(new: DataFrame, existing: DataFrame, earlier: bool = True) -> DataFrame:
+    """(id, match_id, ord, type): the first existing fact of the same entity within a day whose value is another text, or a number where one of both is a text.
+
+    A day of an entity is two rows, the first fact and the first one of another value: whichever is not the new fact's value is its match.
+    """
+    label = F.when(F.col("text").isNotNull(), F.concat(F.lit("t:"), "text")).when(F.col("value").isNotNull(), "number")
+    usable = lambda df: prepared(df).withColumn("label", label).where("label IS NOT NULL AND date IS NOT NULL")
+    keys = ["subject_id", "type", "key", "date"]
+    labels = usable(existing).groupBy(*keys, "label").agg(F.min(F.struct("ord", "id")).alias("f"))
+    one = labels.groupBy(*keys).agg(F.min(F.struct("f", "label")).alias("one"))
+    two = labels.join(one, keys).where("label <> one.label").groupBy(*keys).agg(F.min("f").alias("two"))
+    asks = usable(new).withColumn("date", F.explode(F.sequence(F.date_sub("date", 1), F.date_add("date", 1))))
+    met = asks.join(one.join(two, keys, "left"), keys).withColumn("f", F.when(F.col("label") != F.col("one.label"), F.col("one.f")).otherwise(F.col("two"))).where("f IS NOT NULL")
+    met = met.where("f.ord < ord") if earlier else met
+    return met.groupBy("id", "type").agg(F.min("f").alias("f")).select("id", F.col("f.id").alias("match_id"), F.col("f.ord").alias("ord"), "type")
+
+
 def first_conflicts(new: DataFrame, existing: DataFrame, earlier: bool = True) -> DataFrame:
-    """(id, match_id, ord, kind, type): for each kind of conflict between facts of one type, the first existing fact with it."""
+    """(id, match_id, ord, kind, type): for each kind of conflict between facts of one type, the first existing fact with it; of value conflicts, up to one by numbers and one by texts."""
     exclusive = first_exclusive(new, existing, earlier).withColumn("kind", F.lit(1))
-    return exclusive.unionByName(first_value_conflicts(new, existing, earlier))
+    out = exclusive.unionByName(first_value_conflicts(new, existing, earlier))
+    if "value_text" not in new.columns and "value_text" not in existing.columns:
+        return out
+    return out.unionByName(first_text_conflicts(new, existing, earlier).withColumn("kind", F.lit(2)))
 
 
 def _marked(c: Column) -> Column:

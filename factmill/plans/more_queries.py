@@ -308,3 +308,15 @@ def record_writer(s: SparkSession, d: str) -> DataFrame:
     rows = rows.unionByName(held.read("vectors").select(F.lit("vector").alias("kind"), "id", none("string").alias("a"), none("string").alias("b"), F.md5("text").alias("c"), none("date").alias("day"), none("boolean").alias("late")))
     rows = rows.unionByName(held.read("ledger").select(F.lit("event").alias("kind"), F.col("record_id").alias("id"), F.col("event_type").alias("a"), F.col("source_type").alias("b"), F.col("rule").alias("c"), day.alias("day"), none("boolean").alias("late")))
     return rows.unionByName(held.read("queue").select(F.lit("queue").alias("kind"), "id", F.col("reason").alias("a"), none("string").alias("b"), F.md5("content").alias("c"), day.alias("day"), none("boolean").alias("late")))
+
+
+@query
+def conflict_text_values(s: SparkSession, d: str) -> DataFrame:
+    """Conflicts of facts whose values may be words: severities of symptoms, doses of medications, and results that are a number or a word."""
+    f = views.facts(s, d)
+    word = (
+        F.when(F.col("entity_type") == "symptom", F.element_at(F.array(F.lit("mild"), F.lit(" Severe"), F.lit("MILD "), F.lit(None)), (F.col("id") % 4 + 1).cast("int")))
+        .when(F.col("entity_type") == "medication", F.element_at(F.array(F.lit("5 mg"), F.lit("10 mg"), F.lit("7")), (F.col("id") % 3 + 1).cast("int"))).when(F.col("id") % 6 == 0, "positive")
+    )
+    f = f.withColumn("value_text", word).withColumn("value", F.when(F.col("value_text").isNull(), F.col("value"))).withColumn("date", F.date_trunc("month", "date").cast("date"))
+    return dedup.conflicts(f, f)

@@ -243,3 +243,8 @@ ORACLES: dict[str, str] = {
 ORACLES |= note_oracles.ORACLES
 ORACLES |= more_oracles.oracles(KEYED, CONFLICTS, CONSENSUS, COSINE)
 ORACLES |= gate_oracles.ORACLES
+WORDED = f"""wf0 AS (SELECT * REPLACE (CAST(date_trunc('month', date) AS DATE) AS date), CASE entity_type WHEN 'symptom' THEN ['mild', ' Severe', 'MILD ', NULL][id % 4 + 1] WHEN 'medication' THEN ['5 mg', '10 mg', '7'][id % 3 + 1] ELSE CASE WHEN id % 6 = 0 THEN 'positive' END END AS said FROM ({FACTS})),
+f0 AS (SELECT * REPLACE (CASE WHEN said IS NULL THEN value ELSE try_cast(said AS DOUBLE) END AS value), CASE WHEN try_cast(said AS DOUBLE) IS NULL THEN trim(lower(said)) END AS said_text FROM wf0)"""
+#: As DIFFER, and two texts that are not the same, or a text and a number.
+DIFFER_TEXT = f"({DIFFER} OR (n.said_text IS NOT NULL AND e.said_text IS NOT NULL AND n.said_text <> e.said_text) OR (n.said_text IS NOT NULL AND e.value IS NOT NULL) OR (n.value IS NOT NULL AND e.said_text IS NOT NULL))"
+ORACLES["conflict_text_values"] = f"WITH {KEYED.replace(f'f0 AS ({FACTS})', WORDED)} {CONFLICTS.replace(DIFFER, DIFFER_TEXT)}"

@@ -80,3 +80,29 @@ def test_one_subject_of_very_many_facts(spark):
     assert {(r["id"], r["kind"]) for r in got} == {(200_000, 2), (200_000, 3)} and time.time() - began < 120
     assert {r["match_id"] for r in got if r["kind"] == 2} == {3}
     assert {r["match_id"] for r in got if r["kind"] == 3} == {0}
+
+
+@pytest.mark.parametrize("earlier", [True, False])
+def test_text_values_against_all_pairs(spark, earlier):
+    rng = random.Random(6)
+    said = [None, "", "mild", " MILD", "severe", "7", "7.0", "8"]
+    rows = [(i, i, rng.randrange(2), "symptom", rng.choice(["pain", "cough"]), rng.choice([None, None, 7.0]), None, rng.choice([None] + [date(2024, 1, x) for x in range(1, 9)]), rng.choice(said)) for i in range(120)]
+    df = spark.createDataFrame(rows, FACT + ", value_text string")
+
+    def value(r):
+        text = " ".join((r[8] or "").lower().split())
+        return r[5] if r[5] is not None else float(text) if text[:1].isdigit() else text or None
+
+    want = {}
+    for n in rows:
+        for e in rows:
+            a, b = value(n), value(e)
+            if n[2] != e[2] or n[4] != e[4] or None in (a, b, n[7], e[7]) or abs((n[7] - e[7]).days) > 1 or (earlier and e[1] >= n[1]):
+                continue
+            differ = abs(a - b) / max(abs(a), abs(b)) > 0.02 if isinstance(a, float) and isinstance(b, float) else a != b
+            if differ:
+                want.setdefault(n[0], e[0])
+    got = {}
+    for r in dedup.first_conflicts(df, df, earlier).collect():
+        got[r["id"]] = min(r["match_id"], got.get(r["id"], r["match_id"]))
+    assert got == want and len(want) > 30
