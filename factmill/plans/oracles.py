@@ -223,7 +223,8 @@ ORACLES: dict[str, str] = {
     "store_by_specialty": f"SELECT id, fact_type, name FROM ({RECORDS}) WHERE specialty = 'neurology' AND status = 'active' AND tier = 'active'",
     "store_recent_conflicts": f"SELECT id, fact_type, name FROM ({RECORDS}) WHERE status = 'conflicted' AND CAST(first_recorded AS DATE) >= DATE '1995-06-17' - INTERVAL 90 DAY",
     "explorer_topk": f"SELECT id, fact_type, name, first_recorded FROM ({RECORDS}) ORDER BY first_recorded DESC, id LIMIT 50",
-    "store_upsert": f"WITH f AS ({FACTS}) SELECT CAST(subject_id AS VARCHAR) || '/' || entity_type AS id, arg_max(entity_name, ord) AS entity_name, (list(value ORDER BY ord DESC))[1] AS value FROM f GROUP BY 1",
+    "store_upsert": f"""WITH f AS (SELECT CAST(subject_id AS VARCHAR) || '/' || entity_type AS id, entity_name, value, ord FROM ({FACTS})),
+r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ord % 2 DESC, ord DESC) AS r FROM f) SELECT id, entity_name, value FROM r WHERE r = 1""",
     "migrate_backfill": f"SELECT id, fact_type AS entity_type, name AS entity_name, value AS normalized_value, CAST(1.0 AS DOUBLE) AS temporal_confidence, trust_level, round(confidence, 6) AS confidence, tier, status FROM ({RECORDS})",
     "facts_unified": f"SELECT fact_type AS entity_type, source_type, count(*) AS n, count(DISTINCT id) AS ids FROM ({RECORDS}) GROUP BY 1, 2",
     "vector_topk": f"SELECT query_id, vec_id, round(s, 6) AS similarity, r AS rank FROM ({NEAREST}) WHERE r <= 10",
