@@ -164,3 +164,14 @@ def test_partial_distances_drop_early():
     codes.search(x.view(Counted), book)
     steps = {d: sum(n for e, n in seen if e == d) for d in (1, 2, 3)}
     assert steps[1] > steps[2] > steps[3] and steps[3] < 0.2 * x.shape[0] * len(book)
+
+
+def test_near_duplicates_of_empty_and_clashing_tables(spark):
+    from factmill.llm import embeddings
+
+    schema = "vec_id long, embedding array<double>, cls long, v string, id int, dim int, part int, block string, raw int, n int, a int, b int, node int, root int, m int, n_links string, component_id int, kept string"
+    rest = (1, "x", 2, 3, 4, "y", 5, 6, 7, 8, 9, 10, 11, "z", 12, "w")
+    assert embeddings.near_duplicates(spark.createDataFrame([], schema)).collect() == []
+    rows = [(1, [1.0, 0.0], *rest), (2, [2.0, 0.0], *rest), (3, [0.0, 1.0], *rest), (4, None, *rest), (5, [0.0, 0.0], *rest), (6, [], *rest), (7, [float("nan"), 1.0], *rest)]
+    got = embeddings.near_duplicates(spark.createDataFrame(rows, schema)).select("vec_id", "n_links", "component_id", "kept").collect()
+    assert sorted(map(tuple, got)) == [(1, 1, 1, True), (2, 1, 1, False), *((i, 0, i, True) for i in range(3, 8))]
