@@ -50,3 +50,57 @@ def blocked_documents(records: DataFrame, doc: str = "doc_id") -> DataFrame:
     """records with `document_blocked`: any blocked medication stops the whole document. A partial aggregate and a join, not a window over a document."""
     stopped = records.groupBy(doc).agg(F.max(F.col("decision") == "block").alias("document_blocked"))
     return records.join(stopped, doc)
+
+
+#: Decision, status of the check and message of the local gate, by the worst severity found; {} is the drug's name.
+LOCAL = {
+    "other": ("allow", None, "Not a medication record"), "down": ("pending", "pending_ddi_check", "Medication safety check unavailable."), "none": ("allow", "clear", "No interactions found."),
+    "HIGH": ("block", "high_blocked", "High-severity interaction detected."), "MEDIUM": ("review", "medium", "Medium-severity interaction requires acknowledgment."), "LOW": ("allow", "low", "Low-severity interaction noted."),
+}
+#: The same of the gate behind a service.
+SERVICE = {
+    "other": ("allow", None, "Not a medication record"), "down": ("queue", "pending", "DDI connector unavailable. Medication write queued."), "none": ("allow", "clear", "No interactions found"),
+    "HIGH": ("block", "high_blocked", "HIGH SEVERITY INTERACTION: {} interacts with existing medications. Write BLOCKED. User confirmation required."),
+    "MEDIUM": ("warn", "medium", "MEDIUM severity interaction detected for {}. Proceeding with warning."), "LOW": ("allow", "low", "Low severity interaction noted for {}."),
+}
+#: Status of a record whose decision is put off.
+QUEUED = {"queue": "pending_ddi", "review": "pending_medication_review", "pending": "pending_ddi_check"}
+
+
+def _told(table: dict[str, tuple], state: Column, name: Column) -> Column:
+    """(decision, ddi_status, message) of a state."""
+    out = None
+    for key, (decision, status, message) in table.items():
+        before, _, after = message.partition("{}")
+        text = F.concat(F.lit(before), name, F.lit(after)) if "{}" in message else F.lit(message)
+        told = F.struct(F.lit(decision).alias("decision"), F.lit(status).cast("string").alias("ddi_status"), text.alias("message"))
+        out = F.when(state == key, told) if out is None else out.when(state == key, told)
+    return out
+
+
+def routed(records: DataFrame, found: DataFrame, service: Column, available: Column) -> DataFrame:
+    """records (id, fact_type, name, status, tier, requires_review, ...) with decision, ddi_status, ddi_message, outcome and n_findings, status, tier and review mark set.
+
+    service: whether the gate behind a service judges a record, else the local one; available: whether that gate answers. Blocked records are
+    `blocked`, those put off `queued`, quarantined under the status of their reason and marked for review; both carry the message. Others are `kept` as they are.
+    """
+    top = found.groupBy("id").agg(F.max(worst(F.col("severity"))).alias("__rank"), F.sum("n").alias("__n"))
+    rank = F.coalesce("__rank", F.lit(0))
+    state = (
+        F.when(F.coalesce("fact_type", F.lit("")) != "medication", "other").when(~F.coalesce(available, F.lit(False)), "down")
+        .when(rank == 3, "HIGH").when(rank == 2, "MEDIUM").when(rank == 1, "LOW").otherwise("none")
+    )
+    name = F.coalesce("name", F.lit(""))
+    told = F.when(F.coalesce(service, F.lit(False)), _told(SERVICE, state, name)).otherwise(_told(LOCAL, state, name))
+    out = records.join(top, "id", "left").withColumn("__state", state).withColumn("__told", told)
+    decision = F.col("__told.decision")
+    queued = decision.isin(*QUEUED)
+    status = F.create_map(*[F.lit(x) for pair in QUEUED.items() for x in pair])
+    stopped = (decision == "block") | queued
+    checked = ~F.col("__state").isin("other", "down")
+    return out.withColumns({
+        "decision": decision, "ddi_status": F.col("__told.ddi_status"), "ddi_message": F.when(stopped, F.col("__told.message")),
+        "outcome": F.when(decision == "block", "blocked").when(queued, "queued").otherwise("kept"), "n_findings": F.when(checked, F.coalesce("__n", F.lit(0))).otherwise(0).cast("long"),
+        "status": F.when(queued, F.try_element_at(status, decision)).otherwise(F.col("status")), "tier": F.when(queued, "quarantined").otherwise(F.col("tier")),
+        "requires_review": queued | F.coalesce("requires_review", F.lit(False)),
+    }).drop("__rank", "__n", "__state", "__told")

@@ -320,3 +320,14 @@ def conflict_text_values(s: SparkSession, d: str) -> DataFrame:
     )
     f = f.withColumn("value_text", word).withColumn("value", F.when(F.col("value_text").isNull(), F.col("value"))).withColumn("date", F.date_trunc("month", "date").cast("date"))
     return dedup.conflicts(f, f)
+
+
+@query
+def safety_routes(s: SparkSession, d: str) -> DataFrame:
+    """Facts of all types through the local gate (even ids) and the gate behind a service (odd ids), each down for every seventh id: all decisions, queued statuses and messages."""
+    f = views.facts(s, d)
+    drugs = f.where("entity_type = 'medication'")
+    held = drugs.groupBy("subject_id", F.col("entity_name").alias("drug")).agg(F.count("*").alias("n"))
+    found = safety.findings(drugs.select("id", "subject_id", F.col("entity_name").alias("drug")), held, safety.rules(s))
+    rows = f.select("id", F.col("entity_type").alias("fact_type"), F.col("entity_name").alias("name"), F.lit("active").alias("status"), F.lit("active").alias("tier"), F.lit(False).alias("requires_review"))
+    return safety.routed(rows, found, F.col("id") % 2 == 1, F.col("id") % 7 != 0).drop("name")

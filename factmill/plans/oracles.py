@@ -249,3 +249,12 @@ f0 AS (SELECT * REPLACE (CASE WHEN said IS NULL THEN value ELSE try_cast(said AS
 #: As DIFFER, and two texts that are not the same, or a text and a number.
 DIFFER_TEXT = f"({DIFFER} OR (n.said_text IS NOT NULL AND e.said_text IS NOT NULL AND n.said_text <> e.said_text) OR (n.said_text IS NOT NULL AND e.value IS NOT NULL) OR (n.value IS NOT NULL AND e.said_text IS NOT NULL))"
 ORACLES["conflict_text_values"] = f"WITH {KEYED.replace(f'f0 AS ({FACTS})', WORDED)} {CONFLICTS.replace(DIFFER, DIFFER_TEXT)}"
+ORACLES["safety_routes"] = f"""WITH {HELD}, k AS (SELECT m.id, max(CASE severity WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 ELSE 1 END) AS rk, count(*) AS n FROM m JOIN both_ways w ON w.a = m.drug JOIN m h ON h.subject_id = m.subject_id AND h.drug = w.b GROUP BY m.id),
+x AS (SELECT f.id, entity_type AS fact_type, entity_name AS name, id % 2 = 1 AS far, entity_type = 'medication' AS med, id % 7 = 0 AS down, coalesce(rk, 0) AS rk, coalesce(n, 0) AS n FROM f LEFT JOIN k USING (id)),
+y AS (SELECT *, CASE WHEN NOT med THEN 'allow' WHEN down THEN CASE WHEN far THEN 'queue' ELSE 'pending' END WHEN rk = 3 THEN 'block' WHEN rk = 2 THEN CASE WHEN far THEN 'warn' ELSE 'review' END ELSE 'allow' END AS decision FROM x)
+SELECT id, fact_type, decision, CASE WHEN NOT med THEN NULL WHEN down THEN CASE WHEN far THEN 'pending' ELSE 'pending_ddi_check' END ELSE ['clear', 'low', 'medium', 'high_blocked'][rk + 1] END AS ddi_status,
+ CASE decision WHEN 'queue' THEN 'DDI connector unavailable. Medication write queued.' WHEN 'pending' THEN 'Medication safety check unavailable.' WHEN 'review' THEN 'Medium-severity interaction requires acknowledgment.'
+  WHEN 'block' THEN CASE WHEN far THEN 'HIGH SEVERITY INTERACTION: ' || name || ' interacts with existing medications. Write BLOCKED. User confirmation required.' ELSE 'High-severity interaction detected.' END END AS ddi_message,
+ CASE WHEN decision = 'block' THEN 'blocked' WHEN decision IN ('queue', 'pending', 'review') THEN 'queued' ELSE 'kept' END AS outcome, CAST(CASE WHEN med AND NOT down THEN n ELSE 0 END AS BIGINT) AS n_findings,
+ CASE decision WHEN 'queue' THEN 'pending_ddi' WHEN 'pending' THEN 'pending_ddi_check' WHEN 'review' THEN 'pending_medication_review' ELSE 'active' END AS status,
+ CASE WHEN decision IN ('queue', 'pending', 'review') THEN 'quarantined' ELSE 'active' END AS tier, decision IN ('queue', 'pending', 'review') AS requires_review FROM y"""

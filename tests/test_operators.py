@@ -381,3 +381,18 @@ def test_selection_by_counts(spark):
         assert {r["tier"]: r["value"] for r in got} == {g: sorted(vs)[place[g] - 1] for g, vs in groups.items()}
     assert store.selected(values.limit(0), spark.createDataFrame([("x", 1)], "tier string, place long"), "tier", "value").collect() == []
     assert {r["tier"]: r["p95"] for r in store.audit_performance(values.where("tier IN ('one', 'ties')")).collect()} == {"one": None, "ties": 2.0}
+
+
+def test_safety_routes_of_every_state(spark):
+    from factmill.operators import safety
+
+    kinds = [("high", 3), ("medium", 2), ("low", 1), ("none", 0), ("down", 3), ("other", 0)]
+    rows = [(i, "medication" if k != "other" else "note", k, "active", "active", i == 0, far, k != "down") for i, (k, far) in enumerate((k, far) for k, _ in kinds for far in (False, True))]
+    df = spark.createDataFrame([*rows, (99, None, None, None, None, None, None, None)], "id long, fact_type string, name string, status string, tier string, requires_review boolean, far boolean, up boolean")
+    found = spark.createDataFrame([(0, "HIGH", 1), (1, "HIGH", 2), (1, "LOW", 1), (2, "MEDIUM", 1), (3, "MEDIUM", 1), (4, "LOW", 1), (5, "LOW", 1), (8, "HIGH", 1)], "id long, severity string, n int")
+    got = {r["id"]: r for r in safety.routed(df, found, F.col("far"), F.col("up")).collect()}
+    assert [got[i]["decision"] for i in range(12)] == ["block", "block", "review", "warn", "allow", "allow", "allow", "allow", "pending", "queue", "allow", "allow"]
+    assert [got[i]["status"] for i in range(12)] == ["active", "active", "pending_medication_review", "active", "active", "active", "active", "active", "pending_ddi_check", "pending_ddi", "active", "active"]
+    assert got[1]["n_findings"] == 3 and got[8]["n_findings"] == 0 and got[0]["requires_review"] and got[2]["tier"] == "quarantined"
+    assert got[1]["ddi_message"].startswith("HIGH SEVERITY INTERACTION: high interacts") and got[3]["ddi_message"] is None
+    assert (got[99]["decision"], got[99]["outcome"], got[99]["ddi_status"]) == ("allow", "kept", None)
