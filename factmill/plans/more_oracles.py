@@ -61,6 +61,8 @@ def oracles(keyed: str, conflicts: str, consensus: str, cosine: str) -> dict[str
     nearest = lambda a, b: f"SELECT a.vec_id AS query_id, b.vec_id, {cosine} AS s, row_number() OVER (PARTITION BY a.vec_id ORDER BY {cosine} DESC, b.vec_id) AS r FROM {a} a, {b} b"
     asked, three, rest = "(SELECT * FROM embeddings WHERE vec_id % 50 = 0)", "(SELECT * FROM embeddings WHERE label = 3)", "(SELECT * FROM embeddings WHERE label <> 3)"
     planted = "(SELECT vec_id + 1000001 AS vec_id, list_transform(embedding, lambda x, i: CAST(x AS DOUBLE) * 2 + 0.02 * (((i - 1) * 7 + vec_id) % 5) * (vec_id % 12)) AS embedding FROM embeddings WHERE vec_id % 50 = 0)"
+    indexed = """(SELECT vec_id, CASE WHEN vec_id % 26 <> 5 AND vec_id % 11 = 3 THEN list_transform(embedding, lambda x: -x) ELSE embedding END AS embedding
+FROM embeddings WHERE (vec_id % 13 <> 5 OR vec_id % 26 = 5) AND label <> 3 AND embedding IS NOT NULL)"""
     routes = f"""{held}, new AS (SELECT id, subject_id, CASE WHEN id % 4 = 0 THEN 'lamotrigine' ELSE drug END AS drug FROM m), held AS (SELECT DISTINCT subject_id, drug FROM m UNION SELECT subject_id, 'valproate' FROM m WHERE id % 7 = 0),
 rules AS ({note_oracles._RULES}), w AS (SELECT new.id, max(rank) AS rank FROM new JOIN rules ON x = new.drug JOIN held ON held.subject_id = new.subject_id AND held.drug = y GROUP BY 1),
 er AS (SELECT f.id, entity_type AS fact_type, CASE WHEN rank = 3 THEN 'blocked_ddi' WHEN rank = 2 THEN 'pending' WHEN coalesce(value, 0) >= 80 THEN 'rejected' ELSE 'written' END AS route FROM f LEFT JOIN w ON w.id = f.id)"""
@@ -108,6 +110,7 @@ FROM (SELECT doc_id, regexp_extract(text, '(?i)\bdiagnosis\s*:?\s*([A-Za-z][A-Za
 SELECT doc_id, CASE WHEN outcome = 'written' THEN 'accepted' WHEN outcome = 'blocked_ddi' THEN 'blocked' WHEN status = 'needs_review' THEN 'review' WHEN status = 'rejected' THEN 'rejected' ELSE outcome END AS gate_decision,
  CASE WHEN len(codes) > 0 THEN codes[1] WHEN outcome = 'blocked_ddi' THEN 'safety_gate_block' WHEN doc_id % 3 > 0 THEN 'connector_failure' END AS error_category, CASE WHEN doc_id % 3 > 0 THEN CASE WHEN doc_id % 2 = 0 THEN 'latency_too_high' ELSE 'fallback_invoked' END END AS fallback_reason FROM o""",
         "vector_search_filtered": f"SELECT query_id, vec_id, round(s, 6) AS similarity, r AS rank FROM ({nearest(asked, three)}) WHERE r <= 5",
+        "vector_index_search": f"SELECT query_id, vec_id, round(s, 6) AS similarity, r AS rank FROM ({nearest(asked, indexed)}) WHERE r <= 5",
         "response_consistency": f"SELECT query_id, round(avg(s), 6) AS consistency FROM ({nearest(asked, rest)}) WHERE r <= 5 GROUP BY 1",
         "vector_near_dup_planted": f"SELECT query_id, vec_id, round(s, 6) AS similarity FROM ({nearest(planted, 'embeddings')}) WHERE r = 1 AND s >= 0.92",
         "vector_text": f"SELECT id, fact_type || ' ' || name || ' ' || CAST(subject_id AS VARCHAR) || ' | name: ' || name || CASE WHEN CAST(value AS INT) IS NOT NULL THEN ' | value: ' || CAST(CAST(value AS INT) AS VARCHAR) ELSE '' END AS text FROM ({RECORDS})",

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from factmill import config as C
 from factmill.operators import contract, dedup, extract, gate, promote, registry, resolve, review, safety, store, vector, writer
+from factmill.operators.vectorindex import VectorIndex
 from factmill.plans import views
 from factmill.sources.recordstore import RecordStore
 from factmill.sources.shared import scratch_folder
@@ -249,6 +250,19 @@ def vector_near_dup_planted(s: SparkSession, d: str) -> DataFrame:
     return vector.near_duplicate(found, C.DEFAULT.dedup_cosine).select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"))
 
 
+@query
+def vector_index_search(s: SparkSession, d: str) -> DataFrame:
+    """The stated query set against a stored index after a batch of new, changed and deleted vectors, written twice, and one that brings some back; one label is left out, as by a filter."""
+    v = table(s, d, "embeddings")
+    index = VectorIndex.build(v.where("vec_id % 7 <> 0"), f"{scratch_folder(s)}/index-{uuid.uuid4().hex}")
+    turned = F.when(F.col("vec_id") % 11 == 3, F.transform("embedding", lambda x: -x)).otherwise(F.col("embedding"))
+    for _ in range(2):
+        index.write(v.where("vec_id % 7 = 0 OR vec_id % 11 = 3").withColumn("embedding", turned), v.where("vec_id % 13 = 5").select("vec_id"), 1)
+    index.write(v.where("vec_id % 26 = 5"), None, 2)
+    found = index.search(v.where("vec_id % 50 = 0"), 5, F.col("label") != 3)
+    return found.select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"), "rank")
+
+
 @query
 def vector_text(s: SparkSession, d: str) -> DataFrame:
     r = _content(views.records(s, d)).withColumn("structured", F.map_from_arrays(F.array(F.lit("name"), F.lit("unit"), F.lit("value")), F.array(F.col("name"), F.lit(""), F.col("value").cast("int").cast("string"))))
