@@ -15,6 +15,10 @@ from factmill import config as C
 from factmill.functions.annotate import may_be_alike, name_ratio
 from factmill.functions.text import canonical, entity_key, norm
 from factmill.operators.vector import range_search
+from factmill.sources.shared import dealt, materialize
+
+#: Rows of a table of names that may be broadcast.
+SENT_NAMES = 100_000
 
 TREATMENTS = ("medication", "treatment", "procedure", "surgery")
 DIAGNOSES = ("diagnosis", "condition")
@@ -65,7 +69,7 @@ def exact_matches(new: DataFrame, existing: DataFrame, earlier: bool = True, day
     n = prepared(new).withColumn("day", F.explode(around))
     first = _firsts(prepared(existing), "type", "name", "rounded", "date")
     on = (F.col("subject_id") == F.col("e_subject_id")) & (F.col("type") == F.col("e_type")) & (F.col("name") == F.col("e_name")) & F.col("rounded").eqNullSafe(F.col("e_rounded")) & F.col("day").eqNullSafe(F.col("e_date"))
-    return _earlier(n.join(first, on), earlier).groupBy("id").agg(F.min_by("e_id", "e_ord").alias("match_id"))
+    return _earlier(n.join(dealt(first), on), earlier).groupBy("id").agg(F.min_by("e_id", "e_ord").alias("match_id"))
 
 
 def alias_matches(new: DataFrame, existing: DataFrame, earlier: bool = True, vectors: DataFrame | None = None, least_name: float = C.DEFAULT.name_ratio, least_cosine: float = C.DEFAULT.dedup_cosine) -> DataFrame:
@@ -81,12 +85,14 @@ def alias_matches(new: DataFrame, existing: DataFrame, earlier: bool = True, vec
         alike = alike.unionByName(near_names(vectors, least_cosine))
     same = names.select(F.col("name").alias("a"), F.col("name").alias("b"))
     means = same.unionByName(alike).unionByName(alike.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    means = materialize(means, "means")
+    means = F.broadcast(means) if means.count() <= SENT_NAMES else dealt(means)
     by_name = n.join(means, F.col("name") == F.col("a")).select("id", "ord", "subject_id", "type", F.concat(F.lit("n:"), "b").alias("means"))
     by_canon = n.where("canon <> ''").select("id", "ord", "subject_id", "type", F.concat(F.lit("c:"), "canon").alias("means"))
     held = e.select("id", "ord", "subject_id", "type", F.explode(F.array_compact(F.array(F.when(F.col("name") != "", F.concat(F.lit("n:"), "name")), F.when(F.col("canon") != "", F.concat(F.lit("c:"), "canon"))))).alias("means"))
     first = _firsts(held, "type", "means")
     on = (F.col("subject_id") == F.col("e_subject_id")) & (F.col("type") == F.col("e_type")) & (F.col("means") == F.col("e_means"))
-    return _earlier(by_name.unionByName(by_canon).join(first, on), earlier).groupBy("id").agg(F.min_by("e_id", "e_ord").alias("match_id"))
+    return _earlier(by_name.unionByName(by_canon).join(dealt(first), on), earlier).groupBy("id").agg(F.min_by("e_id", "e_ord").alias("match_id"))
 
 
 def near_names(vectors: DataFrame, least: float) -> DataFrame:
@@ -121,12 +127,12 @@ def alike_names(names: DataFrame, name: str = "name", least: float = C.DEFAULT.n
     distinct = names.select(norm(F.col(name)).alias("a")).where("length(a) > 1").distinct()
     grams = distinct.select("a", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("a") - 1), lambda i: F.substr(F.col("a"), i, F.lit(2))))).alias("g"))
     held = grams.groupBy("g").agg(F.count("*").alias("n"))
-    ranked = grams.join(held, "g").groupBy("a").agg(F.array_sort(F.collect_list(F.struct("n", "g"))).alias("all"))
+    ranked = grams.join(dealt(held), "g").groupBy("a").agg(F.array_sort(F.collect_list(F.struct("n", "g"))).alias("all"))
     # a changed character touches two bigrams: alike names differ in (1 - least) / least of their characters at most
     lost = F.ceil(2 * F.length("a") * (1 - least) / least).cast("int") * 2 + 2
-    dealt = ranked.select("a", F.explode(F.transform(F.slice("all", 1, lost), lambda x: x["g"])).alias("g"))
-    left, right = dealt.alias("l"), dealt.alias("r")
-    pairs = left.join(right, F.expr("l.g = r.g AND l.a < r.a") & may_be_alike(F.col("l.a"), F.col("r.a"), least)).select(F.col("l.a").alias("a"), F.col("r.a").alias("b")).distinct()
+    few = ranked.select("a", F.explode(F.transform(F.slice("all", 1, lost), lambda x: x["g"])).alias("g"))
+    left, right = few.alias("l"), few.alias("r")
+    pairs = left.join(dealt(right), F.expr("l.g = r.g AND l.a < r.a") & may_be_alike(F.col("l.a"), F.col("r.a"), least)).select(F.col("l.a").alias("a"), F.col("r.a").alias("b")).distinct()
     return pairs.withColumn("ratio", name_ratio("a", "b")).where(F.col("ratio") >= least)
 
 
@@ -158,7 +164,7 @@ def drug_conflicts(new: DataFrame, existing: DataFrame, earlier: bool = True) ->
     rules = spark.createDataFrame([(x, y, r) for a, b, r in C.INTERACTIONS for x, y in ((a, b), (b, a))], "name string, other string, reason string")
     n = prepared(new).where("type = 'medication'").join(F.broadcast(rules), "name")
     first = _firsts(prepared(existing).where("type = 'medication'"), "name")
-    pairs = _earlier(n.join(first, (F.col("subject_id") == F.col("e_subject_id")) & (F.col("other") == F.col("e_name"))), earlier)
+    pairs = _earlier(n.join(dealt(first), (F.col("subject_id") == F.col("e_subject_id")) & (F.col("other") == F.col("e_name"))), earlier)
     return pairs.groupBy("id").agg(F.min(F.struct("e_ord", "e_id", "reason")).alias("f")).select("id", F.col("f.e_id").alias("match_id"), "f.reason", F.col("f.e_ord").alias("ord"))
 
 
@@ -182,7 +188,7 @@ def temporal_conflicts(new: DataFrame, existing: DataFrame, earlier: bool = True
         day = F.unix_date("date") * (1 if later else -1)
         rows = n.where(F.col("type").isin(*asks)).withColumn("day", day)
         steps = _steps(e.where(F.col("type").isin(*asked)), later)
-        return rows.join(steps, (F.col("subject_id") == F.col("e_subject_id")) & (F.col("day") >= F.col("above")) & (F.col("day") < F.col("upto")))
+        return rows.join(dealt(steps), (F.col("subject_id") == F.col("e_subject_id")) & (F.col("day") >= F.col("above")) & (F.col("day") < F.col("upto")))
 
     pairs = _earlier(side(TREATMENTS, DIAGNOSES, True).unionByName(side(DIAGNOSES, TREATMENTS, False)), earlier)
     return pairs.groupBy("id").agg(F.min_by("e_id", "e_ord").alias("match_id"), F.min("e_ord").alias("ord"))
@@ -191,12 +197,12 @@ def temporal_conflicts(new: DataFrame, existing: DataFrame, earlier: bool = True
 def paired_conflicts(new: DataFrame, existing: DataFrame, earlier: bool = True) -> DataFrame:
     """(id, match_id, ord, kind, type) of all pairs of facts of one type that are in conflict, by the first kind that holds, for counts of pairs; conflicts() doesn't pair."""
     n, e = _sides(new, existing)
-    same = n.join(e, _on("type", "key", earlier=earlier))
+    same = n.join(dealt(e), _on("type", "key", earlier=earlier))
     value = (_gap() <= 1) & values_differ(F.col("n_value"), F.col("e_value"))
     kind = F.when(_excludes(F.col("n_name"), F.col("e_name")), 1).when(value, 2).when(_implausible(), 3)
     same = same.withColumn("kind", kind)
     variant = lambda c: _marked(F.col(c))
-    other = n.where(variant("n_name")).join(e.where(variant("e_name")), _on("type", earlier=earlier) & (F.col("n_key") != F.col("e_key")) & _excludes(F.col("n_name"), F.col("e_name"))).withColumn("kind", F.lit(1))
+    other = n.where(variant("n_name")).join(dealt(e.where(variant("e_name"))), _on("type", earlier=earlier) & (F.col("n_key") != F.col("e_key")) & _excludes(F.col("n_name"), F.col("e_name"))).withColumn("kind", F.lit(1))
     return same.unionByName(other).where("kind IS NOT NULL").select(F.col("n_id").alias("id"), F.col("e_id").alias("match_id"), F.col("e_ord").alias("ord"), "kind", F.col("n_type").alias("type"))
 
 
@@ -207,7 +213,7 @@ def first_exclusive(new: DataFrame, existing: DataFrame, earlier: bool = True) -
     spread = lambda df, at: df.withColumn("variant", F.explode(F.array_compact(F.array(*[F.when(has(x[2]), F.lit(x[at])) for x in sides]))))
     first = _firsts(spread(prepared(existing), 0), "type", "variant")
     on = (F.col("subject_id") == F.col("e_subject_id")) & (F.col("type") == F.col("e_type")) & (F.col("variant") == F.col("e_variant"))
-    found = _earlier(spread(prepared(new), 1).join(first, on), earlier)
+    found = _earlier(spread(prepared(new), 1).join(dealt(first), on), earlier)
     return found.groupBy("id", "type").agg(F.min(F.struct("e_ord", "e_id")).alias("f")).select("id", F.col("f.e_id").alias("match_id"), F.col("f.e_ord").alias("ord"), "type")
 
 
@@ -244,7 +250,7 @@ def first_value_conflicts(new: DataFrame, existing: DataFrame, earlier: bool = T
     values = e.groupBy(*keys, "value").agg(F.min(F.struct("ord", "id")).alias("f"))
     days = values.groupBy(*keys).agg(F.max("value").alias("most"), F.min("value").alias("least"), F.min("f.ord").alias("first"))
     asks = _limits(n).withColumn("date", F.explode(F.sequence(F.date_sub("date", F.col("span")), F.date_add("date", F.col("span"))))).drop("span", "value")
-    asks = asks.join(days, keys).withColumn("reach", F.when(F.col("sign") == 1, F.col("most")).otherwise(-F.col("least")))
+    asks = asks.join(dealt(days), keys).withColumn("reach", F.when(F.col("sign") == 1, F.col("most")).otherwise(-F.col("least")))
     asks = asks.where("reach > c OR (reach = c AND NOT strict)")
     asks = asks.where("first < ord") if earlier else asks
     held = values.withColumn("sign", F.explode(F.array(F.lit(1), F.lit(-1)))).select(*keys, "sign", (F.col("value") * F.col("sign")).alias("at"), F.lit(1).alias("tie"), "f", *[F.lit(None).cast(t).alias(c) for c, t in (("id", n.schema["id"].dataType), ("kind", "int"), ("mine", n.schema["ord"].dataType))])
@@ -266,9 +272,9 @@ def first_text_conflicts(new: DataFrame, existing: DataFrame, earlier: bool = Tr
     keys = ["subject_id", "type", "key", "date"]
     labels = usable(existing).groupBy(*keys, "label").agg(F.min(F.struct("ord", "id")).alias("f"))
     one = labels.groupBy(*keys).agg(F.min(F.struct("f", "label")).alias("one"))
-    two = labels.join(one, keys).where("label <> one.label").groupBy(*keys).agg(F.min("f").alias("two"))
+    two = labels.join(dealt(one), keys).where("label <> one.label").groupBy(*keys).agg(F.min("f").alias("two"))
     asks = usable(new).withColumn("date", F.explode(F.sequence(F.date_sub("date", 1), F.date_add("date", 1))))
-    met = asks.join(one.join(two, keys, "left"), keys).withColumn("f", F.when(F.col("label") != F.col("one.label"), F.col("one.f")).otherwise(F.col("two"))).where("f IS NOT NULL")
+    met = asks.join(dealt(one.join(dealt(two), keys, "left")), keys).withColumn("f", F.when(F.col("label") != F.col("one.label"), F.col("one.f")).otherwise(F.col("two"))).where("f IS NOT NULL")
     met = met.where("f.ord < ord") if earlier else met
     return met.groupBy("id", "type").agg(F.min("f").alias("f")).select("id", F.col("f.id").alias("match_id"), F.col("f.ord").alias("ord"), "type")
 
@@ -311,7 +317,7 @@ def decide(new: DataFrame, existing: DataFrame, earlier: bool = True) -> DataFra
         .unionByName(tag(4, alias_matches(new, existing, earlier), "semantic", "merge"))
     )
     best = pool.groupBy("id").agg(F.min("f").alias("f"))
-    out = new.select("id").join(best, "id", "left")
+    out = new.select("id").join(dealt(best), "id", "left")
     return out.select("id", F.coalesce("f.strategy", F.lit("none")).alias("strategy"), F.coalesce("f.action", F.lit("insert")).alias("action"), F.col("f.match_id").alias("match_id"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factmill.operators.store import conflict_rows
+from factmill.sources.shared import dealt
 
 SEVERITIES = ("low", "medium", "high", "critical")
 
@@ -20,10 +21,10 @@ def quarantine(found: DataFrame, facts: DataFrame, at: Column) -> tuple[DataFram
     fact1 is the existing fact, fact2 the new one. A severity that is not known is an error of the whole batch.
     """
     known = F.when(F.col("severity").isin(*SEVERITIES), F.col("severity")).otherwise(F.raise_error(F.concat(F.lit("severity must be low, medium, high or critical, got "), F.coalesce("severity", F.lit("null")))))
-    rows = conflict_rows(found.withColumn("severity", known), at).join(found.select("id", "match_id", "conflict_type", "reason"), ["id", "match_id", "conflict_type"])
+    rows = conflict_rows(found.withColumn("severity", known), at, "reason")
     snapshot = F.to_json(F.struct(*[c for c in facts.columns]))
     side = lambda key, name: facts.select(F.col("id").alias(key), snapshot.alias(name))
-    rows = rows.join(side("match_id", "fact1_snapshot"), "match_id", "left").join(side("id", "fact2_snapshot"), "id", "left")
+    rows = rows.join(dealt(side("match_id", "fact1_snapshot")), "match_id", "left").join(dealt(side("id", "fact2_snapshot")), "id", "left")
     audit = rows.select(F.lit("quarantined").alias("event_type"), F.col("conflict_id").alias("entity_id"), F.to_json(F.struct("conflict_type", "reason", "severity")).alias("details"), F.col("created_at").alias("timestamp"))
     changes = rows.select(F.explode(F.array("id", "match_id")).alias("id")).distinct().select("id", F.lit("quarantined").alias("status"), F.lit("quarantined").alias("tier"))
     return rows, audit, changes
@@ -31,7 +32,7 @@ def quarantine(found: DataFrame, facts: DataFrame, at: Column) -> tuple[DataFram
 
 def lookup(conflicts: DataFrame, ids: DataFrame, schema: str) -> DataFrame:
     """Conflicts of the ids with their snapshots decoded into `fact1` and `fact2`; a snapshot that is no JSON object stays text, and its fact is null."""
-    rows = conflicts.join(ids.select("conflict_id").distinct(), "conflict_id", "left_semi")
+    rows = conflicts.join(dealt(ids.select("conflict_id").distinct()), "conflict_id", "left_semi")
     return rows.withColumns({"fact1": F.from_json("fact1_snapshot", schema), "fact2": F.from_json("fact2_snapshot", schema)})
 
 
@@ -40,7 +41,7 @@ def merged_records(conflicts: DataFrame, values: DataFrame) -> DataFrame:
     name = lambda f: F.coalesce(F.col(f"{f}.entity_name"), F.lit(""))
     content = F.concat(F.lit("Merged: "), name("fact1"), F.lit(" / "), name("fact2"))
     content = F.when(F.col("merged_value").isNotNull(), F.concat(content, F.lit(" → "), F.col("merged_value"))).otherwise(content)
-    return conflicts.join(values, "conflict_id").select(
+    return conflicts.join(dealt(values), "conflict_id").select(
         F.sha2(F.concat(F.lit("merged/"), "conflict_id"), 256).alias("id"), F.coalesce("fact1.entity_type", "fact2.entity_type", F.lit("note")).alias("fact_type"), content.alias("content"),
         F.array("fact1.id", "fact2.id").alias("merged_from"), "merged_value", F.lit("manual").alias("source_type"), F.lit("conflict_resolution").alias("source_name"), F.lit(2).alias("trust_level"), F.lit(0.85).alias("confidence"),
         F.lit("active").alias("status"), F.lit("active").alias("tier"),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from factmill.sources.shared import materialize
+from factmill.sources.shared import dealt, materialize
 
 
 def point_lookup(records: DataFrame, record_id) -> DataFrame:
@@ -75,9 +75,9 @@ def facts_unified(facts: DataFrame, records: DataFrame) -> DataFrame:
     return facts.unionByName(backfill(records, facts).select(*facts.columns))
 
 
-def conflict_rows(found: DataFrame, at: Column) -> DataFrame:
-    """Pending conflict rows from (id, match_id, conflict_type, severity); the key is a hash of what it is about."""
-    return found.select(F.sha2(F.concat_ws("/", F.col("id").cast("string"), F.col("match_id").cast("string"), "conflict_type"), 256).alias("conflict_id"), "id", "match_id", "conflict_type", "severity", F.lit("pending").alias("status"), at.alias("created_at"))
+def conflict_rows(found: DataFrame, at: Column, *more: str) -> DataFrame:
+    """Pending conflict rows from (id, match_id, conflict_type, severity); the key is a hash of what it is about. Columns named in `more` come along."""
+    return found.select(F.sha2(F.concat_ws("/", F.col("id").cast("string"), F.col("match_id").cast("string"), "conflict_type"), 256).alias("conflict_id"), "id", "match_id", "conflict_type", "severity", F.lit("pending").alias("status"), at.alias("created_at"), *more)
 
 
 def severity_rank(c: Column) -> Column:
@@ -96,7 +96,7 @@ CHOICES = ("fact1", "fact2", "both", "neither", "merge")
 
 def resolve(conflicts: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(change set of records, rejected decisions) from decisions (conflict_id, choice); only pending conflicts and known choices are carried out."""
-    joined = decisions.join(conflicts.select("conflict_id", "id", "match_id", F.col("status").alias("state")), "conflict_id", "left")
+    joined = decisions.join(dealt(conflicts.select("conflict_id", "id", "match_id", F.col("status").alias("state"))), "conflict_id", "left")
     error = F.when(~F.col("choice").isin(*CHOICES), "invalid_choice").when(F.col("state").isNull(), "unknown_conflict").when(F.col("state") != "pending", "not_pending")
     marked = joined.withColumn("error", error)
     win, lose, merged = ("active", "active"), ("rejected", "superseded"), ("merged", "superseded")

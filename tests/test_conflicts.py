@@ -106,3 +106,13 @@ def test_text_values_against_all_pairs(spark, earlier):
     for r in dedup.first_conflicts(df, df, earlier).collect():
         got[r["id"]] = min(r["match_id"], got.get(r["id"], r["match_id"]))
     assert got == want and len(want) > 30
+
+
+def test_no_table_of_facts_is_broadcast(spark):
+    """Small files hold many facts: only the fixed rules of drugs may be sent through the driver."""
+    rows = [(i, i, i % 3, "medication", "warfarin", 1.0 * i, None, date(2024, 1, 1)) for i in range(9)]
+    df = spark.createDataFrame(rows, FACT)
+    joins = lambda x: x._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin")
+    for f in (dedup.exact_matches, dedup.temporal_conflicts, dedup.first_exclusive, dedup.first_value_conflicts, dedup.first_text_conflicts, dedup.paired_conflicts):
+        assert joins(f(df, df)) == 0, f.__name__
+    assert joins(dedup.drug_conflicts(df, df)) == 1
