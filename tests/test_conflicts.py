@@ -108,10 +108,11 @@ def test_text_values_against_all_pairs(spark, earlier):
     assert got == want and len(want) > 30
 
 
-def test_no_table_of_facts_is_broadcast(spark):
+def test_no_table_of_facts_is_broadcast(spark, tmp_path):
     """Small files hold many facts: only the fixed rules of drugs may be sent through the driver."""
     rows = [(i, i, i % 3, "medication", "warfarin", 1.0 * i, None, date(2024, 1, 1)) for i in range(9)]
-    df = spark.createDataFrame(rows, FACT)
+    spark.createDataFrame(rows, FACT).write.parquet(f"{tmp_path}/facts")
+    df = spark.read.parquet(f"{tmp_path}/facts")
     joins = lambda x: x._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin")
     for f in (dedup.exact_matches, dedup.temporal_conflicts, dedup.first_exclusive, dedup.first_value_conflicts, dedup.first_text_conflicts, dedup.paired_conflicts):
         assert joins(f(df, df)) == 0, f.__name__
