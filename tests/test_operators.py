@@ -396,3 +396,25 @@ def test_safety_routes_of_every_state(spark):
     assert got[1]["n_findings"] == 3 and got[8]["n_findings"] == 0 and got[0]["requires_review"] and got[2]["tier"] == "quarantined"
     assert got[1]["ddi_message"].startswith("HIGH SEVERITY INTERACTION: high interacts") and got[3]["ddi_message"] is None
     assert (got[99]["decision"], got[99]["outcome"], got[99]["ddi_status"]) == ("allow", "kept", None)
+
+
+def test_vector_search_in_strips(spark):
+    """More rows than a strip, rows without a vector, and a part that has none at all, against plain cosines."""
+    import numpy as np
+
+    from factmill.operators import vector
+
+    values = np.random.default_rng(3).normal(size=(vector.STRIP + 40, 4))
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(values)]
+    schema = "vec_id long, embedding array<double>"
+    none = spark.createDataFrame([(9001, None), (9002, None)], schema).coalesce(1)
+    df = spark.createDataFrame(rows, schema).coalesce(1).unionByName(none)
+    asked = df.where("vec_id % 90 = 0 AND vec_id < 9000")
+    unit = values / np.linalg.norm(values, axis=1, keepdims=True)
+    plain = unit @ unit.T
+    ids = [i for i, _ in rows if i % 90 == 0]
+    got = {(r["query_id"], r["rank"]): r["vec_id"] for r in vector.top_k(asked, df, 3).collect()}
+    assert got == {(i, k + 1): int(j) for i in ids for k, j in enumerate(np.argsort(-plain[i])[:3])}
+    assert {(r["query_id"], r["vec_id"], r["similarity"]) for r in vector.top_k(asked, none, 1).collect()} == {(i, 9001, 0.0) for i in ids}
+    near = {(r["query_id"], r["vec_id"]) for r in vector.range_search(asked, df, 0.9).collect()}
+    assert near == {(i, int(j)) for i in ids for j in np.flatnonzero(plain[i] >= 0.9)}
