@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from factmill.sources.shared import spread
 from factmill.sources.tables import table
 
 FACTS = """
@@ -70,7 +71,7 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(RECORDS, lineitem=table(spark, sf_dir, "lineitem"), orders=table(spark, sf_dir, "orders"))
+    return spark.sql(RECORDS, lineitem=spread(table(spark, sf_dir, "lineitem"), "l_orderkey"), orders=table(spark, sf_dir, "orders"))
 
 
 def extractions(spark: SparkSession, sf_dir: str) -> DataFrame:
