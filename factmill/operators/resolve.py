@@ -12,9 +12,13 @@ from pyspark.sql import functions as F
 from factmill import config as C
 
 
+#: Key of the records that pairs() sets against each other.
+PAIRED = ("fact_type", "name", "subject_id")
+
+
 def pairs(records: DataFrame) -> DataFrame:
     """Each record with the one before it of the same fact type, name and subject: columns of the earlier one begin with `old_`."""
-    w = W.partitionBy("fact_type", "name", "subject_id").orderBy("id", "first_recorded", "value", "trust_level", "source_count", "confidence")
+    w = W.partitionBy(*PAIRED).orderBy("id", "first_recorded", "value", "trust_level", "source_count", "confidence")
     cols = ["id", "trust_level", "source_count", "confidence", "value", "first_recorded"]
     return records.withColumns({f"old_{c}": F.lag(c).over(w) for c in cols}).where("old_id IS NOT NULL")
 

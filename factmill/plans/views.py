@@ -70,8 +70,11 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(FACTS, events=table(spark, sf_dir, "events"))
 
 
-def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(RECORDS, lineitem=spread(table(spark, sf_dir, "lineitem"), "l_orderkey"), orders=table(spark, sf_dir, "orders"))
+def records(spark: SparkSession, sf_dir: str, *keys: str) -> DataFrame:
+    """Records, dealt anew by keys if there are any."""
+    lines = table(spark, sf_dir, "lineitem")
+    out = spark.sql(RECORDS, lineitem=spread(lines, "l_orderkey"), orders=table(spark, sf_dir, "orders"))
+    return spread(out, *keys, stored=lines) if keys else out
 
 
 def extractions(spark: SparkSession, sf_dir: str) -> DataFrame:
