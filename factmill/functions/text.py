@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -64,13 +66,20 @@ def confused_tokens(c: Column) -> Column:
     return F.slice(F.filter(found, lambda t: ~t.isin(*C.NOT_CONFUSED)), 1, C.OCR_CAP)
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where value is worked out once, though use takes it several times or for each element of an array."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def line_faults(c: Column) -> Column:
     """Merged lines plus gaps of four blank lines; texts of under four lines have none."""
-    lines = F.split(c, "\n", -1)
-    full = F.filter(lines, lambda x: F.trim(F.regexp_replace(x, r"(?U)\s+", " ")) != "")
+    blank = lambda x: F.trim(F.regexp_replace(x, r"(?U)\s+", " ")) == ""
+    return let(F.split(c, "\n", -1), lambda lines: let(F.filter(lines, lambda x: ~blank(x)), lambda full: _line_faults(lines, full)))
+
+
+def _line_faults(lines: Column, full: Column) -> Column:
     total = F.aggregate(full, F.lit(0).cast("long"), lambda a, x: a + F.length(x))
-    mean = total / F.size(full)
-    merged = F.size(F.filter(full, lambda x: (F.length(x) > mean * 3) & (F.length(x) > 200)))
+    merged = let(total / F.size(full), lambda mean: F.size(F.filter(full, lambda x: (F.length(x) > mean * 3) & (F.length(x) > 200))))
     start = F.struct(F.lit(0).alias("run"), F.lit(0).alias("gaps"))
 
     def step(a: Column, x: Column) -> Column:
