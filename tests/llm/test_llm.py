@@ -331,6 +331,29 @@ def test_jaccard_against_brute_force(spark, monkeypatch, bounds):
         assert got == brute_components(texts, k, percent)
 
 
+@pytest.mark.parametrize("listed", [False, True])
+def test_jaccard_reads_few_sets_of_groups_that_stay_apart(spark, monkeypatch, listed):
+    """Two clusters of near copies that share most words, and copies between them: sets are read for each chunk of their group, not for each list they are in."""
+    for name, value in zip(("LIST", "CHUNK_SIZE"), (4, 30_000), strict=True):
+        monkeypatch.setattr(jaccard, name, value)
+    base = [f"w{i}" for i in range(100)]
+    texts = []
+    for i in range(240):
+        text = [*base[:99], f"end{i}"]
+        if i % 2:
+            text[30], text[50], text[70] = "x", "y", "z"
+        if i % 40 == 0:
+            text[20] = text[60] = text[80] = f"own{i}"
+        texts.append(" ".join(text))
+    read, verify = [], jaccard._verify
+    monkeypatch.setattr(jaccard, "_verify", lambda members, *args: read.append(members.count()) or verify(members, *args))
+    if listed:  # also the way by candidates, whatever it costs
+        monkeypatch.setattr(jaccard, "_across", lambda open_, percent: jaccard._asked_for(open_.select(F.col("cls").alias("a"), F.col("cls").alias("b")).where("a <> b"), open_.select(F.lit(0).cast("long").alias("h"), "cls", "n", "root"), percent))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(docs(spark, texts)).collect()}
+    assert got == brute_components(texts, 3, 90)
+    assert len(read) == 2 and (listed or sum(read) <= 10 * len(texts))
+
+
 def test_divide_skip_finds_all_links():
     rng = np.random.default_rng(4)
     base = rng.integers(0, 1 << 40, 400).astype(np.uint64)
