@@ -663,6 +663,20 @@ def test_embeddings_against_brute_force(spark, monkeypatch, chunk):
     assert got == {i: (links[i], top(i), top(i) == i) for i in range(len(rows))}
 
 
+def test_embeddings_are_sent_once_for_each_chunk_at_home(spark, monkeypatch):
+    """A cell of many guests is cut into chunks, but only its few at home are sent again for each of them."""
+    rng = np.random.default_rng(4)
+    vectors = rng.standard_normal((400, 32))
+    df = spark.createDataFrame([(i, 1, v.tolist()) for i, v in enumerate(vectors)], "cls long, mult long, v array<double>")
+    pivots = {32: vectors[:64]}
+    monkeypatch.setattr(embeddings, "CHUNK", 10_000)
+    whole = embeddings._deal(df, pivots, 0.95, False).count()
+    monkeypatch.setattr(embeddings, "CHUNK", 20)
+    cut = embeddings._deal(df, pivots, 0.95, False)
+    most = max(r["count"] for r in cut.groupBy("block").count().collect())
+    assert most < 4 * 20 and cut.count() < 2 * whole
+
+
 # 10
 
 
