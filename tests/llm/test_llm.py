@@ -630,6 +630,18 @@ def test_html_on_pages(spark):
         assert r["text"] == "\n".join(x for x in parts if x) and r["n_chars"] == len(r["text"])
 
 
+# 3, orders of keys
+
+
+def test_lm_orders_keys_by_value():
+    """Also where keys differ in the bits alone that find no room beside their places."""
+    rng = np.random.default_rng(9)
+    for keys in (np.zeros(0, np.uint64), rng.integers(0, 50, 3000), rng.integers(0, 2**63, 3000).astype(np.uint64) * np.uint64(2), np.uint64(2**63) + rng.integers(0, 40, 3000).astype(np.uint64)):
+        assert np.array_equal(lm.ranked(keys), np.argsort(keys, kind="stable"))
+        _, first, number = np.unique(keys, return_index=True, return_inverse=True)
+        assert all(np.array_equal(x, y) for x, y in zip(lm.numbered(keys), (first, number), strict=True))
+
+
 # 8
 
 
