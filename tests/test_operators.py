@@ -418,3 +418,11 @@ def test_vector_search_in_strips(spark):
     assert {(r["query_id"], r["vec_id"], r["similarity"]) for r in vector.top_k(asked, none, 1).collect()} == {(i, 9001, 0.0) for i in ids}
     near = {(r["query_id"], r["vec_id"]) for r in vector.range_search(asked, df, 0.9).collect()}
     assert near == {(i, int(j)) for i in ids for j in np.flatnonzero(plain[i] >= 0.9)}
+
+
+def test_web_pages_one_by_one(spark):
+    from factmill.sources.tables import web_pages
+
+    html = ["<article>" + "word " * 100 + "</article>", None, "", "<p>a</p><nav>b</nav>"]
+    got = web_pages(spark.createDataFrame(list(enumerate(html)), "page_id int, html string")).orderBy("page_id")
+    assert [r["text"] for r in got.collect()] == [page_text(h) for h in html]
