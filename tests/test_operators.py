@@ -426,3 +426,12 @@ def test_web_pages_one_by_one(spark):
     html = ["<article>" + "word " * 100 + "</article>", None, "", "<p>a</p><nav>b</nav>"]
     got = web_pages(spark.createDataFrame(list(enumerate(html)), "page_id int, html string")).orderBy("page_id")
     assert [r["text"] for r in got.collect()] == [page_text(h) for h in html]
+
+
+def test_web_pages_whole(spark):
+    from factmill.sources.tables import web_pages
+
+    words = [f"word{i}" for i in range(5000)]
+    html = [f"<nav>menu</nav><article><p>{' '.join(words)}</p></article>", f"<p>{'</p><p>'.join(words)}</p>"]
+    got = web_pages(spark.createDataFrame(list(enumerate(html)), "page_id int, html string")).orderBy("page_id")
+    assert [r["text"] for r in got.collect()] == [" ".join(words)] * 2
