@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from factmill.operators.vector import _unit
-from factmill.sources.shared import hadoop_path, materialize
+from factmill.sources.shared import dealt, hadoop_path, materialize
 
 #: Pivots at most, and rows of a chunk of a cell and queries of a pack that meet in one product.
 CELLS_MOST, CHUNK_ROWS, PACK_QUERIES = 1024, 4096, 512
@@ -156,7 +156,7 @@ class VectorIndex:
         near = materialize(self._visit(asked.mapInArrow(plan(True), kind), chunks, k, where), "index-near")
         # fewer than k rows in all: the first visit has seen every cell
         limit = self._best(near, k).groupBy("q").agg(F.min("s").alias("s")).select("q", F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("s"))).alias("limit"))
-        rest = self._visit(asked.join(limit, "q").mapInArrow(plan(False), kind), chunks, k, where)
+        rest = self._visit(asked.join(dealt(limit), "q").mapInArrow(plan(False), kind), chunks, k, where)
         best = self._best(near.unionByName(rest), k)
         return best.select(F.col("q").alias("query_id"), self.id, F.col("s").alias("similarity"), "rank")
 
@@ -186,4 +186,5 @@ class VectorIndex:
                     q = np.repeat(np.array([x["q"] for x in ask], np.int64), order.shape[1])
                     yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(ids[order].ravel()), pa.array(np.take_along_axis(s, order, 1).ravel())], ["q", name, "s"])
 
-        return packed.join(held, "cell").select("asked", "held").mapInArrow(nearest, f"q long, `{name}` long, s double")
+        # a query's vector is stored once for each cell, next to itself, so the file says little of what the packs hold; they are the side whose rows of a cell a task keeps
+        return held.join(dealt(packed), "cell").select("asked", "held").mapInArrow(nearest, f"q long, `{name}` long, s double")

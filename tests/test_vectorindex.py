@@ -73,3 +73,13 @@ def test_nothing_to_find(spark, tmp_path):
     assert rows_of(index.search(asked, 3)) == {(12, 1, 1): 0.0}
     assert index.search(asked, 3, F.col("tier") == "none").count() == 0
     assert index.search(asked.limit(0), 3).count() == 0
+
+
+def test_packs_are_not_broadcast(spark, tmp_path):
+    rows = spark.createDataFrame([(i, [float(x) for x in np.random.default_rng(i).normal(size=4)]) for i in range(60)], "vec_id long, embedding array<double>")
+    index = VectorIndex.build(rows, f"file://{tmp_path}/index")
+    visit, seen = index._visit, []
+    index._visit = lambda *a: (seen.append(visit(*a)), seen[-1])[1]
+    assert index.search(rows.where("vec_id < 9"), 3).count() == 27
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in seen]
+    assert len(plans) == 2 and not any("BroadcastHashJoin [cell" in p for p in plans)
