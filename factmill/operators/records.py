@@ -24,17 +24,17 @@ def content(fact_type: Column, text: Column, structured: Column) -> Column:
     )
 
 
-def from_entities(payloads: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """(doc, ord, fact_type, name, content, structured, source_type, trust_level, confidence, tier, status, extraction_method) from
+def from_entities(payloads: DataFrame, doc: str = "doc_id", kept: tuple[str, ...] = ()) -> DataFrame:
+    """(doc, ord, fact_type, name, content, structured, source_type, trust_level, confidence, tier, status, extraction_method) and the kept columns from
     (doc, entities array<struct<type, text, structured map>>, confidence, extraction_method). Blank texts go; unknown types are notes."""
-    e = payloads.select(doc, "confidence", "extraction_method", F.posexplode("entities").alias("ord", "e")).where("trim(e.text) <> ''")
+    e = payloads.select(doc, *kept, "confidence", "extraction_method", F.posexplode("entities").alias("ord", "e")).where("trim(e.text) <> ''")
     kind = F.when(F.col("e.type").isin(*ENTITY_TYPES), F.col("e.type")).otherwise("note")
     text = F.trim("e.text")
     named = F.when(kind.isin("diagnosis", "medication"), "name").otherwise("text")
     rest = F.map_filter(F.coalesce("e.structured", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))), lambda k, _: ~k.isin("type", "text", "name"))
     return e.select(
         doc, "ord", kind.alias("fact_type"), text.alias("name"), content(kind, text, F.col("e.structured")).alias("content"), F.map_concat(F.map_from_arrays(F.array(named), F.array(text)), rest).alias("structured"),
-        F.lit("extraction").alias("source_type"), F.lit(1).alias("trust_level"), "confidence", F.lit("active").alias("tier"), F.lit("active").alias("status"), "extraction_method",
+        F.lit("extraction").alias("source_type"), F.lit(1).alias("trust_level"), "confidence", F.lit("active").alias("tier"), F.lit("active").alias("status"), "extraction_method", *kept,
     )
 
 
